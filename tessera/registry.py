@@ -1,0 +1,17 @@
+"""Named queries over the driver tables, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").alias("n"))
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}

@@ -1,10 +1,66 @@
-"""The corpus pipeline: its stages in order, and run() that applies them to documents."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, benchmark decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
+of documents. A stage decides by doc_id and drops what it rejects; rows with a null doc_id can't be named, so only the
+language stage, which reads them one by one, can drop them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, minhash
+from tessera.llm.common import read, stored
+
+#: Broadcast so many rejected ids at most; beyond that the anti-join shuffles.
+ID_LIMIT = 1_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among the rejected."""
+    ids = stored(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= ID_LIMIT else ids.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark, docs, sf_dir):
+    """Drops documents in no language: those without a letter. The model learns from these documents."""
+    model = language_id.fit(docs.filter(~language_id.held_out()), "text", "lang")
+    found = language_id.identify(docs, model, also=tuple(c for c in docs.columns if c != "doc_id"))
+    return found.filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def exact(spark, docs, sf_dir):
+    """Of equal texts the row with the largest doc_id stays."""
+    return without(docs, exact_dedup.exact_dedup(docs, keep="largest").filter("NOT kept"))
+
+
+def near(spark, docs, sf_dir):
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return without(docs, minhash.near_dedup(docs).filter("NOT kept"))
+
+
+def benchmark(spark, docs, sf_dir):
+    """Drops documents that passages of benchmark contaminate."""
+    return without(docs, decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def tokens(spark, docs, sf_dir):
+    """Token ids of every text, with digests of the ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    return byte_bpe.encode_docs(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("minhash_dedup", near), ("decontamination", benchmark), ("byte_bpe", tokens)]
+
+#: SQL can't express the stages of language ID, near-dedup and BPE; tests hold the pipeline against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The rows of the last stage over all documents; each stage is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

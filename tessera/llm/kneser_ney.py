@@ -193,7 +193,8 @@ def log_likelihood(texts: list[str], lang: str, folder: str, shards: int, known:
 
 
 def perplexity(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str, chunk_chars: int = 4_000_000) -> DataFrame:
-    """id, lang, perplexity of each row; perplexity is null where the language is null or unknown to the model."""
+    """id, lang, perplexity and scored (characters, the end included) of each row; both are null where the language is null
+    or unknown to the model."""
     folder, shards, sizes = model
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -206,13 +207,13 @@ def perplexity(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str
             by: dict[str | None, list[int]] = {}
             for k, (_, lang, _) in enumerate(held):
                 by.setdefault(lang, []).append(k)
-            out = [None] * len(held)
+            out, scored = [None] * len(held), [None] * len(held)
             for lang, at in by.items():
                 if lang in sizes:
                     total, n = log_likelihood([held[k][2] for k in at], lang, folder, shards, sizes[lang])
-                    for k, x in zip(at, np.exp(-total / n).tolist(), strict=True):
-                        out[k] = x
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], arrow_id), pa.array([h[1] for h in held], pa.string()), pa.array(out, pa.float64())], [id_col, "lang", "perplexity"])
+                    for k, x, m in zip(at, np.exp(-total / n).tolist(), n.tolist(), strict=True):
+                        out[k], scored[k] = x, m
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], arrow_id), pa.array([h[1] for h in held], pa.string()), pa.array(out, pa.float64()), pa.array(scored, pa.int64())], [id_col, "lang", "perplexity", "scored"])
 
         for batch in batches:
             for i, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -225,19 +226,23 @@ def perplexity(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str
             yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang string, perplexity double")
+    return docs.select(F.col(id_col), F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang string, perplexity double, scored bigint")
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, id_limit: int = 1_000_000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    quantile: float = 0.99, spread: float = 3.0, held_back: int = 4, id_limit: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: id, lang, perplexity, threshold, trusted, kept.
 
-    Trusted documents are those that labels give quality 1 and no other quality. The threshold of a language is this
-    quantile of its trusted documents' perplexities (to one part in 10,000); a document is kept unless its perplexity is
-    above it. Documents whose language is null or has no trusted document have null figures and are kept. Null text counts
-    as empty and is scored by its end alone. Null ids are not trusted; repeated rows share a verdict. Empty tables of
-    labels keep all; an empty table of documents gives an empty result.
+    Trusted documents are those that labels give quality 1 and no other quality. One in held_back of them, by the hash of
+    its id, is left out of the training; the threshold of a language is this quantile of their perplexities (to one part in
+    10,000), so that it tells how unseen good text scores. A document is kept unless even the low end of its perplexity,
+    spread / sqrt(characters) lower in logarithm as fits a short text's chance, is above the threshold.
+
+    Documents whose language is null, or has no trusted document on both sides, have a null threshold and are kept. Null
+    text counts as empty and is scored by its end alone. Null ids are not trusted; repeated rows share a verdict. Empty
+    tables of labels keep all; an empty table of documents gives an empty result.
     """
     ship(docs.sparkSession)
     ids = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q")).filter("q >= 1 AND __id IS NOT NULL").select("__id")
@@ -245,13 +250,15 @@ def quality(
     few = ids.count() <= id_limit  # broadcast only below a checked count
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(lang_col).cast("string").alias("lang"))
     side = F.broadcast(ids) if few else ids
-    trusted = base.filter("lang IS NOT NULL").join(side, F.col("id") == F.col("__id"), "left_semi")
+    unseen = F.pmod(F.xxhash64("id"), F.lit(held_back)) == 0
+    trusted = base.filter(~unseen & F.col("lang").isNotNull()).join(side, F.col("id") == F.col("__id"), "left_semi")
     model = fit(trusted.select("lang", "t"))
     scores = stored(perplexity(base, model, "id", "t", "lang"), "perplexities")
     marked = scores.join(side.withColumn("trusted", F.lit(True)), F.col("id") == F.col("__id"), "left").drop("__id").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    limits = marked.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = marked.filter(F.col("trusted") & unseen & F.col("perplexity").isNotNull()).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = marked.join(F.broadcast(limits), "lang", "left")  # a row for each language
-    return out.select(F.col("id").alias(id_col), "lang", "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    kept = F.log("perplexity") - spread / F.sqrt("scored") <= F.log("threshold")
+    return out.select(F.col("id").alias(id_col), "lang", "perplexity", "threshold", "trusted", F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def op6_kneser_ney_quality(spark, sf_dir):

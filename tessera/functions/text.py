@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-SPACE = r"[\s\x1c-\x1f\x85   -     　]+"
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def words(text: Column) -> Column:
@@ -84,3 +84,7 @@ def first_region(query: Column, which: str) -> Column:
     for key, region in K.regions(which):
         out = F.when(F.contains(low, F.lit(key)), region) if out is None else out.when(F.contains(low, F.lit(key)), region)
     return out
+
+
+def found_any(low: Column, names: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(low, n))

@@ -1,17 +1,375 @@
-"""Named queries over the driver tables, with the SQL that gives the same rows."""
+"""Named queries over the driver tables, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from .functions import constants as K
+from .functions import fingerprint as FP
+from .functions import score as S
+from .functions import text as T
+from .functions import urls as U
+from .operators import graph as G
+from .operators import html as H
+from .operators import semantic as A
+from .plans import store as P
+from .sources import pages as SP
+
+#: What the driver queries look for: frequent words of the corpus in place of a user's query and clusters.
+TERMS = S.terms(["that with thing", "les pour dans", "und das", "para con"])
+CLUSTERS = {"english": ["with", "thing", "tion"], "french": ["pour", "dans", "ment"], "german": ["und", "keit", "ung"], "spanish": ["para", "ción", "mente"]}
+TOPICS = [("football", "sports", ["football", "the that"]), ("travel", "travel", ["with", "and the"]), ("haus", "realestate", ["und", "das"]), ("maison", "food", ["les", "dans"])]
+SEEDS = [("the", "", "https://a.example/one"), ("the", "", "https://a.example/two"), ("und", "", "https://b.example/"), ("les", "europe", "https://c.example/"), ("ngth", "", "https://d.example/")]
+HEADERS = [
+    ("a", {"Server": "nginx/1.2", "CF-Ray": "x", "X-Frame-Options": "DENY"}), ("b", {"Server": "Foo/2"}), ("c", {"Server": "Apache", "X-Powered-By": "PHP/8", "Via": "1.1 varnish"}),
+    ("d", {"X-Generator": "Drupal 9", "X-Cache": "hit", "Via": "1.1 x.cloudfront.net"}), ("e", {"X-Powered-By": "Express", "Content-Security-Policy": "x"}),
+]
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def lst(xs) -> str:
+    return "[" + ", ".join(map(q, xs)) + "]"
+
+
+def cte(**parts: str) -> str:
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in parts.items()) + " "
+
+
+# ---- SQL pieces
+
+
+def plain_sql(x: str) -> str:
+    t = f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''), ' ')"
+    for mark, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " ")):
+        t = f"replace({t}, {q(mark)}, {q(char)})"
+    return f"regexp_replace({t}, '&amp;?', '&', 'g')"
+
+
+ARTICLE = plain_sql(r"regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)")
+TITLE = "coalesce(nullif(trim(%s), ''), nullif(trim(%s), ''), '')" % (plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"), plain_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"))
+DOMAIN = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)', 2)"
+M = f"SELECT page_id, url, html, {TITLE} AS title, {ARTICLE} AS main_text FROM pages"
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {q(T.SPACE)}), lambda w: w <> '')"
+
+
+def found_sql(t: str, pattern: str, group: int, cap: int, fold: bool = False) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({t}, {q(('(?i)' if fold else '') + pattern)}, {group})))[1:{cap}]"
+
+
+def locations_sql(t: str) -> str:
+    return f"list_filter({lst(K.LOCATIONS)}, lambda x: contains(lower({t}), lower(x)))[1:{K.CAPS['locations']}]"
+
+
+def orgs_sql(t: str) -> str:
+    parts = ", ".join(f"regexp_extract_all({t}, {q(K.ORG_HEAD + chr(92) + 'Q' + s + chr(92) + 'E')}, 0)" for s in K.ORG_SUFFIXES)
+    return f"list_sort(list_distinct(list_transform(flatten([{parts}]), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))))[1:{K.CAPS['organizations']}]"
+
+
+ENT = {
+    "emails": lambda t: found_sql(t, K.EMAIL, 0, 20), "phones": lambda t: found_sql(t, K.PHONE, 0, 20), "wechat": lambda t: found_sql(t, K.WECHAT, 1, 10, True),
+    "line_ids": lambda t: found_sql(t, K.LINE, 1, 10, True), "locations": locations_sql, "organizations": orgs_sql,
+}
+LANG = f"CASE WHEN len(replace(TXT, ' ', '')) = 0 THEN 'unknown' WHEN len(regexp_extract_all(TXT, {q(K.HAN)})) / len(replace(TXT, ' ', '')) > 0.30 THEN 'zh' WHEN len(regexp_extract_all(TXT, {q(K.HAN)})) / len(replace(TXT, ' ', '')) > 0.05 THEN 'mixed' ELSE 'en' END"
+
+
+def ln_share(x: str, full: float) -> str:
+    return f"(ln(1 + ({x})::DOUBLE) / {math.log1p(full)!r}::DOUBLE)"
+
+
+def keyword_sql(low: str, n: str, w: float) -> str:
+    hits = " + ".join(f"(length({low}) - length(replace({low}, {q(t)}, '')))::DOUBLE / {float(len(t))}" for t in TERMS)
+    return f"CASE WHEN {n} > 0 THEN least({float(w)}::DOUBLE, {ln_share(f'100 * (({hits}) / {n})', 10)} * {w}) ELSE 0 END"
+
+
+def cluster_sql(low: str, w: float) -> str:
+    counts = [f"len(list_filter({lst(v)}, lambda x: contains({low}, x)))" for v in CLUSTERS.values()]
+    hits, matched = " + ".join(counts), " + ".join(f"(CASE WHEN {c} > 0 THEN 1 ELSE 0 END)" for c in counts)
+    return f"CASE WHEN {hits} > 0 THEN least({float(w)}::DOUBLE, ({ln_share(hits, 30)} * 0.7::DOUBLE + ({matched}) / {float(len(CLUSTERS))}::DOUBLE * 0.3::DOUBLE) * {w}) ELSE 0 END"
+
+
+def contact_sql(w: float) -> str:
+    one = lambda c: f"(CASE WHEN {c} THEN {w / 4}::DOUBLE ELSE 0 END)"
+    return " + ".join(map(one, ("len(emails) > 0", "len(phones) > 0", "len(wechat) > 0", "len(line_ids) > 0 OR len(organizations) > 0")))
+
+
+def length_sql(n: str, w: float) -> str:
+    return f"CASE WHEN {n} < 50 THEN 0 WHEN {n} <= 3000 THEN {ln_share(n, 3000)} * {w} ELSE (1 - least(0.2::DOUBLE, ({n} - 3000) / 50000.0::DOUBLE)) * {w} END"
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+# ---- frames
+
+
+def pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+def documents(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def mains(spark, d):
+    return pages(spark, d).select("page_id", "url", "html", H.title(F.col("html")).alias("title"), H.article_text(F.col("html")).alias("main_text"))
+
+
+def edges(spark, d):
+    p = pages(spark, d)
+    a = H.anchors(p, "url", "html")
+    return a.select(F.col("url").alias("from_url"), "pos", U.joined(F.col("url"), F.col("href")).alias("to_url"), "anchor").filter(U.part(F.col("to_url"), 1).isin("http", "https"))
+
+
+ROOT = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)"
+EDGES = f"SELECT url AS from_url, i - 1 AS pos, {ROOT} || regexp_extract(a[i], '(?is)href=\"([^\"]*)\"', 1) AS to_url, substr({plain_sql('a[i]')}, 1, 200) AS anchor FROM (SELECT url, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT url, regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>') AS a FROM pages))"
+
+
+def nodes(spark, d):
+    """Pages as crawled nodes, their targets as pending ones; a page's score is its words by ten."""
+    m = mains(spark, d).select("url", F.least(F.lit(100), F.floor(T.word_count(F.col("main_text")) / 10)).cast("int").alias("score"), F.lit(0).alias("depth"), F.lit("crawled").alias("status"))
+    t = edges(spark, d).select(F.col("to_url").alias("url")).distinct().join(m.select("url"), "url", "left_anti")
+    return m.unionByName(t.select("url", F.lit(0).alias("score"), F.lit(1).alias("depth"), F.lit("pending").alias("status")))
+
+
+NODES = f"SELECT url, least(100, floor(len({words_sql('main_text')}) / 10))::INT AS score, 0 AS depth, 'crawled' AS status FROM m UNION ALL SELECT DISTINCT to_url, 0, 1, 'pending' FROM e WHERE to_url NOT IN (SELECT url FROM pages)"
+
+
+def ready(spark, d):
+    """Records of all pages by built-ins, with in-degrees."""
+    whole = F.concat(F.col("main_text"), F.lit(" "), F.col("title"))
+    m = mains(spark, d).withColumn("entities", T.entities(whole)).withColumn("language", T.language(F.col("main_text"))).withColumn("word_count", T.word_count(F.col("main_text"))).withColumn("headings", H.headings(F.col("html")))
+    m = m.withColumn("metadata", F.map_filter(F.create_map(F.lit("lang"), F.regexp_extract("html", '(?i)<html[^>]*lang="([^"]*)"', 1)), lambda k, v: v != "")).withColumn("schema_org", F.array().cast("array<string>"))
+    return m.join(G.in_degree(edges(spark, d)), "url", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+
+
+def total_sql(mode: str, goal: int) -> dict[str, str]:
+    w = dict(zip(K.COMPONENTS, K.WEIGHTS[mode], strict=True))
+    ents = ", ".join(f"{f('(main_text || chr(32) || title)')} AS {name}" for name, f in ENT.items())
+    scale = S.goal_limits(goal)[1]
+    heads = "len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'))"
+    return {
+        "m": M, "e": EDGES, "i": "SELECT to_url, count(*) AS inbound FROM e GROUP BY 1",
+        "x": f"SELECT page_id, url, title, main_text, lower(main_text || ' ' || title) AS low, len({words_sql('main_text')}) AS n, {heads} AS heads, regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1) <> '' AS meta, {LANG.replace('TXT', 'main_text')} AS language, {ents} FROM m",
+        "w": f"SELECT page_id, max(c) AS top, sum(c) AS capped FROM (SELECT page_id, w, count(*) AS c FROM (SELECT page_id, unnest({words_sql('lower(main_text[1:50000])')}) AS w FROM m) GROUP BY 1, 2) GROUP BY 1",
+        "c": f"SELECT x.*, {keyword_sql('low', 'n', w['keyword_freq'])} AS kf, {cluster_sql('low', w['semantic_cluster'])} AS sc, {contact_sql(w['contact_presence'])} AS cp, {length_sql('n', w['content_length'])} AS cl, "
+        f"CASE language WHEN 'mixed' THEN {float(w['multilingual'])}::DOUBLE WHEN 'zh' THEN {w['multilingual'] / 2}::DOUBLE ELSE 0 END AS ml, 0::DOUBLE AS mq, least({float(w['link_authority'])}::DOUBLE, {ln_share('coalesce(inbound, 0)', 50)} * {w['link_authority']}) AS la, "
+        f"((CASE WHEN n < 50 THEN 20 ELSE 0 END) + (CASE WHEN heads = 0 THEN 5 ELSE 0 END) + (CASE WHEN coalesce(top / capped, 0) > 0.05 THEN 15 ELSE 0 END) + (CASE WHEN meta THEN 0 ELSE 3 END)) * {scale}::DOUBLE AS fault FROM x LEFT JOIN w USING (page_id) LEFT JOIN i ON to_url = url",
+        "s": "SELECT *, greatest(0, least(100, trunc(0::DOUBLE + kf + sc + cp + cl + ml + mq + la - fault)::INT)) AS total FROM c",
+    }
+
+
+def totals(mode, goal=50):
+    def run(spark, d):
+        out = S.scored(ready(spark, d), "page_id", TERMS, mode, goal, CLUSTERS)
+        return out.select("page_id", "total", r6(F.col("keyword_freq"), "keyword_freq"), r6(F.col("semantic_cluster"), "semantic_cluster"), r6(F.col("contact_presence"), "contact_presence"), r6(F.col("content_length"), "content_length"), r6(F.col("link_authority"), "link_authority"))
+
+    sql = cte(**total_sql(mode, goal)) + "SELECT page_id, total, round(kf, 6) AS keyword_freq, round(sc, 6) AS semantic_cluster, round(cp, 6) AS contact_presence, round(cl, 6) AS content_length, round(la, 6) AS link_authority FROM s"
+    return run, sql
+
+
+def leads_at(goal):
+    def run(spark, d):
+        out = S.scored(ready(spark, d), "page_id", TERMS, "leadgen", goal, CLUSTERS).withColumnRenamed("total", "score")
+        return P.leads(out, goal)
+
+    joined = ", ".join(f"array_to_string({c}, '; ') AS {c}" for c in ("emails", "phones", "wechat", "line_ids", "organizations", "locations"))
+    sql = cte(**total_sql("leadgen", goal)) + f"SELECT url, total AS score, title, {joined}, language FROM s WHERE total >= {S.goal_limits(goal)[0]} AND (len(emails) > 0 OR len(phones) > 0 OR len(wechat) > 0)"
+    return run, sql
+
+
+def entity(name, f):
+    def run(spark, d):
+        return documents(spark, d).select("doc_id", F.array_join(f(F.col("text")), "; ").alias(name))
+
+    return run, f"SELECT doc_id, array_to_string({ENT[name]('text')}, '; ') AS {name} FROM documents"
+
+
+def doc_score(make, sql_of):
+    def run(spark, d):
+        x = documents(spark, d).withColumn("low", F.lower("text")).withColumn("n", T.word_count(F.col("text"))).withColumn("e", T.entities(F.col("text"))).withColumn("l", T.language(F.col("text")))
+        return x.select("doc_id", r6(make(x), "score"))
+
+    ents = ", ".join(f"{f('text')} AS {name}" for name, f in ENT.items())
+    base = f"SELECT doc_id, lower(text) AS low, len({words_sql('text')}) AS n, {LANG.replace('TXT', 'text')} AS l, {ents} FROM documents"
+    return run, cte(x=base) + f"SELECT doc_id, round(({sql_of})::DOUBLE, 6) AS score FROM x"
+
+
+def regions_sql(which, x):
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), {q(k)}) THEN {q(r)}" for k, r in K.regions(which)) + " END"
+
+
+def vocab_sql():
+    tokens, phrases = [], []
+    for c, dom, syn in TOPICS:
+        for s in syn:
+            parts = s.split()
+            tokens += [(A.stem(p), c, dom, 10 if len(parts) == 1 else 8) for p in parts]
+            if len(parts) > 1:
+                phrases.append(("_".join(parts), c, dom))
+    phrases.sort(key=lambda p: -len(p[0]))
+    t = "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {n}, {len(phrases) + i})" for i, (a, b, c, n) in enumerate(tokens)) + ") t(token, concept, domain, tenths, seq)"
+    p = "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {i})" for i, (a, b, c) in enumerate(phrases)) + ") p(phrase, concept, domain, seq)"
+    return {
+        "t": t, "p": p, "w": "SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents", "j": "SELECT doc_id, array_to_string(w, '_') AS whole FROM w",
+        "k": "SELECT doc_id, w[i] AS word, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)",
+        "h": "SELECT doc_id, concept, domain, 20 AS tenths, seq::BIGINT AS seen FROM j JOIN p ON contains(whole, phrase) UNION ALL SELECT doc_id, concept, domain, tenths, (1048576 + pos * 1048576 + seq)::BIGINT FROM k JOIN t ON word = token WHERE length(word) > 2",
+        "s": "SELECT doc_id, concept, domain, sum(tenths)::BIGINT AS tenths, min(seen) AS seen FROM h GROUP BY ALL",
+        "r": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tenths DESC, seen) AS rank FROM s QUALIFY rank <= 8",
+    }
+
+
+def ranked(spark, d):
+    return A.concepts(documents(spark, d), *A.index(spark, TOPICS), key="doc_id", query="text", stemmed=False)
+
+
+def signs_sql(table, x):
+    return "list_filter([" + ", ".join(f"CASE WHEN list_bool_or([{', '.join(f'contains({x}, {q(s)})' for s in signs)}]) THEN {q(n)} END" for n, signs in table.items()) + "], lambda v: v IS NOT NULL)"
+
+
+def first_sql(table, x):
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({x}, {q(s)})' for s in signs)} THEN {q(n)}" for n, signs in table.items()) + " END"
+
+
+def fingerprints(spark, d):
+    rows = spark.createDataFrame(HEADERS, "site string, headers map<string,string>")
+    x = rows.select("site", FP.fingerprint(F.col("headers"), F.lit("")).alias("f"))
+    return x.select("site", "f.server", "f.cms", "f.cdn", "f.server_language", F.array_join("f.security_headers", ",").alias("security"), F.size("f.headers").alias("n_headers"))
+
+
+FINGERPRINTS = "SELECT * FROM (VALUES ('a', 'Nginx', NULL, 'Cloudflare', NULL, 'x-frame-options', 1), ('b', 'Foo', NULL, NULL, NULL, '', 1), ('c', 'Apache', NULL, 'Varnish', 'PHP', '', 3), ('d', NULL, 'Drupal', 'AWS CloudFront', NULL, '', 3), ('e', NULL, NULL, NULL, 'Node.js', 'content-security-policy', 1)) t(site, server, cms, cdn, server_language, security, n_headers)"
+
+
+def colour_counts(spark, d):
+    hexes = F.transform(F.regexp_extract_all("html", F.lit("#([0-9a-fA-F]{6}|[0-9a-fA-F]{3})\\b"), F.lit(1)), lambda h: F.upper(F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)))
+    return pages(spark, d).select(F.explode(hexes).alias("color")).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table():
+    E, D = edges, documents
+    nd = lambda s, d: nodes(s, d)
+    one = {}
+    one["page_text"] = (lambda s, d: mains(s, d).select("page_id", "main_text", T.word_count(F.col("main_text")).alias("word_count")), cte(m=M) + f"SELECT page_id, main_text, len({words_sql('main_text')}) AS word_count FROM m")
+    one["page_title"] = (lambda s, d: mains(s, d).select("page_id", "title"), cte(m=M) + "SELECT page_id, title FROM m")
+    one["page_headings"] = (
+        lambda s, d: pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
+        f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'), lambda h: lower(h[2:3]) || ': ' || replace({plain_sql('h')}, '  ', ' ')), lambda h: length(h) > 4)[1:30], '|') AS headings FROM pages",
+    )
+    n = lambda tag: f"len(regexp_extract_all(html, '(?i)<{tag}\\b'))"
+    one["html_structure"] = (
+        lambda s, d: pages(s, d).select("page_id", H.structure(F.col("html")).alias("x")).select("page_id", "x.*"),
+        f"SELECT page_id, {n('header')} > 0 AS has_header, {n('footer')} > 0 AS has_footer, {n('nav')} > 0 AS has_nav, {n('main')} > 0 AS has_main, {n('article')} > 0 AS has_article, {n('aside')} > 0 AS has_sidebar, {n('form')} AS form_count, {n('img')} AS image_count, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS total_links, {n('h1')} AS h1_count, contains(html, 'application/ld+json') AS has_schema FROM pages",
+    )
+    one["page_links"] = (lambda s, d: E(s, d), cte(e=EDGES) + "SELECT * FROM e")
+    one["link_edges_capped"] = (lambda s, d: G.capped(E(s, d), 3).select("from_url", "to_url"), cte(e=EDGES) + "SELECT from_url, to_url FROM e WHERE pos < 3")
+    one["in_degree"] = (lambda s, d: G.in_degree(E(s, d)), cte(e=EDGES) + "SELECT to_url AS url, count(*) AS inbound FROM e GROUP BY 1")
+    one["url_domain"] = (lambda s, d: pages(s, d).select("page_id", U.domain(F.col("url")).alias("domain"), U.bare_domain(F.col("url")).alias("bare")), f"SELECT page_id, {DOMAIN} AS domain, regexp_replace({DOMAIN}, '^[w.]+', '') AS bare FROM pages")
+    one["domain_counts"] = (lambda s, d: pages(s, d).groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {DOMAIN} AS domain, count(*) AS n FROM pages GROUP BY 1")
+    path = "regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/+$', '')"
+    query = "array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.+$'))), '&')"
+    one["url_normalize"] = (lambda s, d: pages(s, d).select("page_id", U.normalized(F.col("url")).alias("url")), f"SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower({DOMAIN}) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END AS url FROM pages")
+    skip = f"len(list_filter({lst(K.SKIPPED)}, lambda x: contains(lower({DOMAIN}), x))) = 0"
+    one["valid_urls"] = (lambda s, d: pages(s, d).select("page_id", U.valid(F.col("url")).alias("valid"), U.blocked(F.col("url")).alias("blocked")), f"SELECT page_id, regexp_matches(url, '^(?i)https?://') AND {DOMAIN} <> '' AND {skip} AS valid, len(list_filter({lst(K.BLOCKED)}, lambda x: contains(lower({DOMAIN}), x))) > 0 AS blocked FROM pages")
+    for cap in (5, 8):
+        one[f"domain_cap_{cap}"] = (lambda s, d, cap=cap: G.domain_cap(pages(s, d), cap), f"SELECT url, {DOMAIN} AS domain FROM (SELECT DISTINCT url FROM pages WHERE regexp_matches(url, '^(?i)https?://') AND {skip}) QUALIFY row_number() OVER (PARTITION BY {DOMAIN} ORDER BY url) <= {cap}")
+    for name, f in (("emails", T.emails), ("phones", T.phones), ("wechat", T.wechat), ("line_ids", T.line_ids), ("locations", T.locations), ("organizations", T.organizations)):
+        one[f"entity_{name}"] = entity(name, f)
+    one["language_detect"] = (lambda s, d: D(s, d).select("doc_id", T.language(F.col("text")).alias("language")), f"SELECT doc_id, {LANG.replace('TXT', 'text')} AS language FROM documents")
+    one["has_contact"] = (lambda s, d: D(s, d).select("doc_id", T.has_contact(T.entities(F.col("text"))).alias("has_contact")), f"SELECT doc_id, len({ENT['emails']('text')}) > 0 OR len({ENT['phones']('text')}) > 0 OR len({ENT['wechat']('text')}) > 0 AS has_contact FROM documents")
+    one["score_keyword"] = doc_score(lambda x: S.keyword_freq(x.low, x.n, TERMS, 15), keyword_sql("low", "n", 15))
+    one["score_cluster"] = doc_score(lambda x: S.semantic_cluster(x.low, 25, CLUSTERS), cluster_sql("low", 25))
+    one["score_contact"] = doc_score(lambda x: S.contact_presence(x.e, 40), contact_sql(40))
+    one["score_length"] = doc_score(lambda x: S.content_length(x.n, 15), length_sql("n", 15))
+    one["score_multilingual"] = doc_score(lambda x: S.multilingual(x.l, 10), "CASE l WHEN 'mixed' THEN 10.0 WHEN 'zh' THEN 5.0 ELSE 0 END")
+    one["score_authority"] = (lambda s, d: G.in_degree(E(s, d)).select("url", r6(S.link_authority(F.col("inbound"), 20), "score")), cte(e=EDGES) + f"SELECT to_url AS url, round(least(20::DOUBLE, {ln_share('count(*)', 50)} * 20), 6) AS score FROM e GROUP BY 1")
+    one["word_stuffing"] = (lambda s, d: S.top_words(D(s, d), "doc_id", "text"), cte(w=f"SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest({words_sql('lower(text[1:50000])')}) AS w FROM documents) GROUP BY 1, 2") + "SELECT doc_id, sum(c)::BIGINT AS n_capped, max(c) AS top_word FROM w GROUP BY 1")
+    for mode in K.WEIGHTS:
+        one[f"score_total_{mode}"] = totals(mode)
+    for goal in (0, 50, 100):
+        one[f"leads_goal_{goal}"] = leads_at(goal)
+    one["pages_min_score_topk"] = (lambda s, d: P.top_pages(nd(s, d).filter("status = 'crawled'"), 10, 100).select("url", "score"), cte(m=M, e=EDGES, n=NODES) + "SELECT url, score FROM n WHERE status = 'crawled' AND score >= 10 ORDER BY score DESC, url LIMIT 100")
+    one["score_bands"] = (lambda s, d: P.banded(nd(s, d)).groupBy("band").agg(F.count(F.lit(1)).alias("n")), cte(m=M, e=EDGES, n=NODES) + "SELECT CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM n GROUP BY 1")
+    one["graph_nodes"] = (lambda s, d: G.endpoints(E(s, d)), cte(e=EDGES) + "SELECT from_url AS url FROM e UNION SELECT to_url FROM e")
+    one["graph_export_stats"] = (lambda s, d: G.stats(nd(s, d), E(s, d)), cte(m=M, e=EDGES, n=NODES) + "SELECT count(*) AS total_nodes, " + ", ".join(f"count_if(status = '{x}') AS {x}" for x in ("crawled", "pending", "failed", "skipped")) + ", (SELECT count(*) FROM e) AS total_edges FROM n")
+    one["discovered_nodes"] = (lambda s, d: G.discovered(nd(s, d).filter("status = 'crawled'"), E(s, d)), cte(e=EDGES) + "SELECT DISTINCT to_url AS url, 1 AS depth FROM e WHERE to_url NOT IN (SELECT url FROM pages)")
+    both = lambda s, d: (lambda e: e.select("from_url", "to_url").union(e.select("to_url", "from_url")))(E(s, d).select("from_url", U.part(F.col("to_url"), 3).alias("to_url")))
+    link = r"SELECT from_url, regexp_extract(to_url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS to_url FROM e"
+    one["bfs_depth"] = (
+        lambda s, d: G.bfs_depth(E(s, d).agg(F.min("from_url").alias("url")), both(s, d), 4),
+        f"WITH RECURSIVE e AS ({EDGES}), l AS ({link}), g AS (SELECT * FROM l UNION SELECT to_url, from_url FROM l), b(url, depth) AS (SELECT min(from_url), 0 FROM e UNION SELECT g.to_url, b.depth + 1 FROM b JOIN g ON g.from_url = b.url WHERE b.depth < 4) SELECT url, min(depth) AS depth FROM b GROUP BY 1",
+    )
+    one["prune_low_value"] = (
+        lambda s, d: G.prune_low_value(nd(s, d), E(s, d)).select("url", "status"),
+        cte(m=M, e=EDGES, n=NODES, h="SELECT DISTINCT to_url FROM e JOIN n ON from_url = url WHERE status = 'crawled' AND score < 10") + "SELECT url, CASE WHEN status = 'pending' AND url IN (SELECT to_url FROM h) THEN 'skipped' ELSE status END AS status FROM n",
+    )
+    one["next_batch"] = (
+        lambda s, d: G.next_batch(nd(s, d), 20),
+        cte(m=M, e=EDGES, n=NODES, u=f"SELECT {DOMAIN} AS domain, count(*) AS used FROM n WHERE status = 'crawled' GROUP BY 1", r=f"SELECT url, score, depth, {DOMAIN} AS domain, row_number() OVER (PARTITION BY {DOMAIN} ORDER BY score DESC, depth, url) AS rank FROM n WHERE status = 'pending' AND depth <= 5")
+        + "SELECT url, score, depth FROM r LEFT JOIN u USING (domain) WHERE rank <= 50 - coalesce(used, 0) ORDER BY score DESC, depth, url LIMIT 20",
+    )
+    one["region_detect"] = (lambda s, d: D(s, d).select("doc_id", T.first_region(F.col("text"), "expand").alias("expand_region"), T.first_region(F.col("text"), "search").alias("search_region")), f"SELECT doc_id, {regions_sql('expand', 'text')} AS expand_region, {regions_sql('search', 'text')} AS search_region FROM documents")
+    conv = lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("pos"), F.col("text").alias("query"))
+    one["query_pick"] = (
+        lambda s, d: A.picked(conv(s, d).groupBy("job_id", "query").agg(F.min("pos").alias("pos"))),
+        cte(c="SELECT conv_id AS job_id, text AS query, min(turn) AS pos FROM conversations GROUP BY ALL", x="SELECT *, CASE WHEN len(regexp_replace(query, '\\s', '', 'g')) = 0 THEN false ELSE len(regexp_extract_all(query, '[一-鿿぀-ヿ가-힣]')) / len(regexp_replace(query, '\\s', '', 'g')) > 0.25 END AS cjk FROM c")
+        + "SELECT job_id, query, cjk, row_number() OVER (PARTITION BY job_id, cjk ORDER BY CASE WHEN cjk THEN 0 ELSE length(query) END, pos)::INT AS rank FROM x QUALIFY rank <= CASE WHEN cjk THEN 2 ELSE 3 END",
+    )
+    one["concept_rank"] = (lambda s, d: ranked(s, d).select("doc_id", "concept", "domain", "tenths", "rank"), cte(**vocab_sql()) + "SELECT doc_id, concept, domain, tenths, rank FROM r")
+    one["domain_rollup"] = (
+        lambda s, d: A.domains(ranked(s, d), "doc_id"),
+        cte(**vocab_sql(), g="SELECT doc_id, domain, sum(tenths)::BIGINT AS tenths, min(rank) AS f FROM r GROUP BY ALL") + "SELECT doc_id, domain, tenths, row_number() OVER (PARTITION BY doc_id ORDER BY tenths DESC, f)::INT AS rank FROM g",
+    )
+    seeds_sql = "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in SEEDS) + ") s(topic, region, url)"
+    one["fallback_seeds"] = (
+        lambda s, d: A.fallback_seeds(conv(s, d), SP.seeds(s, SEEDS), s.createDataFrame([(0, "https://b.example/")], "job_id bigint, url string")),
+        cte(s=seeds_sql, a="SELECT conv_id AS job_id, string_agg(text, ' ' ORDER BY turn) AS q FROM conversations GROUP BY 1") + f"SELECT DISTINCT job_id, url FROM a JOIN s ON contains(lower(q), topic) AND (region = '' OR region = coalesce({regions_sql('search', 'q')}, '')) WHERE NOT (job_id = 0 AND url = 'https://b.example/')",
+    )
+    for name, tab in (("tech_hints", K.TECH), ("analytics_vendors", K.ANALYTICS)):
+        one[name] = (lambda s, d, name=name, tab=tab: pages(s, d).select("page_id", F.array_join(FP.all_named(F.col("html"), tab), ",").alias(name)), f"SELECT page_id, array_to_string({signs_sql(tab, 'html')}, ',') AS {name} FROM pages")
+    one["cms_framework"] = (
+        lambda s, d: pages(s, d).select("page_id", FP.cms(F.create_map().cast("map<string,string>"), F.col("html")).alias("cms"), FP.framework(F.col("html")).alias("framework")),
+        f"SELECT page_id, {first_sql(K.CMS, 'html')} AS cms, {first_sql(K.FRAMEWORKS, 'html')} AS framework FROM pages",
+    )
+    one["fingerprint_headers"] = (fingerprints, FINGERPRINTS)
+    one["color_palette"] = (colour_counts, "SELECT upper(CASE WHEN len(h) = 3 THEN regexp_replace(h, '(.)', '\\1\\1', 'g') ELSE h END) AS color, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '#([0-9a-fA-F]{6}|[0-9a-fA-F]{3})\\b', 1)) AS h FROM pages) GROUP BY 1")
+    words = " OR ".join(f"contains(lower(to_url), {q(w)}) OR contains(lower(anchor), {q(w)})" for w in K.CONTACT_WORDS)
+    one["contact_links"] = (lambda s, d: E(s, d).filter(T.found_any(F.lower("to_url"), K.CONTACT_WORDS) | T.found_any(F.lower("anchor"), K.CONTACT_WORDS)).select("from_url", "to_url").distinct(), cte(e=EDGES) + f"SELECT DISTINCT from_url, to_url FROM e WHERE {words}")
+    soc = {n: f"regexp_matches(to_url, {q('(?i)' + p)})" for n, p in K.SOCIALS.items()}
+    one["social_links"] = (
+        lambda s, d: E(s, d).withColumn("platform", F.explode(F.array_compact(F.array(*[F.when(F.regexp_like("to_url", F.lit("(?i)" + p)), F.lit(n)) for n, p in K.SOCIALS.items()])))).groupBy("from_url", "platform").agg(F.min_by("to_url", "pos").alias("href")),
+        cte(e=EDGES, x="SELECT from_url, pos, to_url, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, c in soc.items()) + "], lambda v: v IS NOT NULL)) AS platform FROM e") + "SELECT from_url, platform, arg_min(to_url, pos) AS href FROM x GROUP BY ALL",
+    )
+    ev = lambda s, d: s.read.parquet(f"{d}/events.parquet")
+    one["event_progress_stats"] = (lambda s, d: P.progress(ev(s, d), "user_id", "event_type"), "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+    one["job_latest"] = (lambda s, d: P.latest_per_key(ev(s, d), "user_id", "event_id").select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+    state = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
+    one["job_stats"] = (
+        lambda s, d: P.job_stats(s.read.parquet(f"{d}/orders.parquet").select(state.alias("status"), F.lit(1).alias("page_count"))),
+        "SELECT count(*) AS total_jobs, count_if(o_orderstatus = 'F') AS done, count_if(o_orderstatus = 'O') AS running, count_if(o_orderstatus NOT IN ('F', 'O')) AS failed, count(*) AS total_pages FROM orders",
+    )
+    parse = lambda s, d: H.parsed(pages(s, d))
+    one["parsed_records"] = (lambda s, d: parse(s, d).select("page_id", "title", "word_count", F.size("graph_links").alias("n_links"), F.element_at("metadata", F.lit("lang")).alias("lang"), F.size("headings").alias("n_headings"), F.col("error").isNull().alias("ok")), None)
+    one["site_profile"] = (lambda s, d: parse(s, d).select("page_id", "favicon", "logo", F.size("navigation").alias("n_navigation"), F.size("colors").alias("n_colors"), F.array_join("schema_types", ",").alias("schema_types"), F.size("contact_links").alias("n_contact")), None)
+    one["query_expansions"] = (lambda s, d: A.expand(conv(s, d).filter("pos = 0"), *A.index(s), s.createDataFrame(A.TRANSLATIONS, "concept string, lang string, terms array<string>"), key="job_id"), None)
+    return one
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").alias("n"))
+    """Pages by their lead score, best first: the report's top 20."""
+    return totals("leadgen")[0](spark, sf_dir).orderBy(F.desc("total"), "page_id").limit(20)
 
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in table().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in table().items() if sql is not None}

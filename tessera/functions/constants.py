@@ -15,7 +15,7 @@ PHONE = "(?:" + "|".join([
 ]) + ")"
 WECHAT = r"(?:微信|wechat|weixin|wx)[\s:：#号]*([a-zA-Z0-9_\-]{5,30})"
 LINE = r"(?:line[\s]?id|line@|line号)[\s:：]*([a-zA-Z0-9_@.\-]{3,30})"
-HAN = "[一-鿿㐀-䶿豈-﫿]"
+HAN = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]"
 ORG_HEAD = r"[A-Z][a-zA-Z\s一-鿿]{1,40}"
 LOCATIONS = [
     "Thailand", "Bangkok", "Chiang Mai", "Phuket", "China", "Beijing", "Shanghai", "Guangzhou", "Shenzhen", "Chengdu", "Singapore", "Hong Kong", "Malaysia", "Kuala Lumpur",

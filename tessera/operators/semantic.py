@@ -26,7 +26,7 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 VOCABULARY = [
-    ("football", "sports", ["football", "soccer"]), ("sports_academy", "sports", ["sports academy", "academy", "training academy"]), ("hotel", "travel", ["hotel", "resort", "guest house"]),
+    ("football", "sports", ["football", "soccer"]), ("sports_academy", "sports", ["sports academy", "academy"]), ("hotel", "travel", ["hotel", "resort", "guest house"]),
     ("logistics", "logistics", ["logistics", "freight forwarding", "shipping"]), ("university", "education", ["university", "college"]), ("restaurant", "food", ["restaurant", "catering"]),
     ("contact", "business", ["contact details", "contact"]),
 ]

@@ -26,8 +26,8 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def language(spark, docs, sf_dir):
     """Drops documents in no language: those without a letter. The model learns from these documents."""
     model = language_id.fit(docs.filter(~language_id.held_out()), "text", "lang")
-    found = language_id.identify(docs, model, also=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter("lang_pred <> 'und'").select(docs.columns)
+    found = language_id.identify(docs, model, also=tuple(c for c in docs.columns if c != "doc_id"), out=("__lang_pred", "__score"))
+    return found.filter("__lang_pred <> 'und'").select(docs.columns)
 
 
 def exact(spark, docs, sf_dir):

@@ -214,8 +214,8 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
     return Filter(languages, sizes, hashes, m, set_slots.toLocalIterator())
 
 
-def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 4_000_000, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, lang_pred, score, and the columns named in also.
+def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 4_000_000, also: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per input row: id, the columns named in also, lang_pred, score; out renames the last two where names clash.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, and with any letter the language with most
     votes, the first by name among equals; score is its share of all votes. Whole texts are read, in chunks of about
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col:
     ship(spark)
     model = spark.sparkContext.broadcast(filter_)  # m slots at most for each 64 languages, whatever the corpus
     names = [id_col, *also]
-    out_names = [*names, "lang_pred", "score"]
+    out_names = [f"c{k}" for k in range(len(names) + 2)]  # by place, as names may clash
     read = names if text_col in names else [*names, text_col]
     place = read.index(text_col)
 
@@ -251,8 +251,9 @@ def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col:
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(score, pa.float64())], out_names)
 
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*read).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    kinds = [docs.schema[n].dataType.simpleString() for n in names] + ["string", "double"]
+    found = docs.select(*read).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(out_names, kinds, strict=True)))
+    return found.toDF(*names, *out)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -350,9 +350,9 @@ def table():
     ev = lambda s, d: s.read.parquet(f"{d}/events.parquet")
     one["event_progress_stats"] = (lambda s, d: P.progress(ev(s, d), "user_id", "event_type"), "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
     one["job_latest"] = (lambda s, d: P.latest_per_key(ev(s, d), "user_id", "event_id").select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-    state = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
+    state = lambda: F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
     one["job_stats"] = (
-        lambda s, d: P.job_stats(s.read.parquet(f"{d}/orders.parquet").select(state.alias("status"), F.lit(1).alias("page_count"))),
+        lambda s, d: P.job_stats(s.read.parquet(f"{d}/orders.parquet").select(state().alias("status"), F.lit(1).alias("page_count"))),
         "SELECT count(*) AS total_jobs, count_if(o_orderstatus = 'F') AS done, count_if(o_orderstatus = 'O') AS running, count_if(o_orderstatus NOT IN ('F', 'O')) AS failed, count(*) AS total_pages FROM orders",
     )
     parse = lambda s, d: H.parsed(pages(s, d))

@@ -1,9 +1,10 @@
 """MinHash near-dedup: universal hash minima, banding, signature and full-set verification, connected components.
 
-Documents with the same shingle set are one node. Each node has 128 hash minima; bands of four or five send it to buckets. No
-bucket is spelled out in pairs. First each node meets the leaders of its buckets and is verified against the one whose
-signature is nearest. Then, of each bucket whose nodes are still in several components, the nodes outside its main component
-meet the others, in salted blocks, and only pairs of different components with near signatures leave the join. So every pair
+Documents with the same shingle set are one node. Each node has 256 hash minima; bands of four or five of the first 128 send
+it to buckets. No bucket is spelled out in pairs. First each node meets the leaders of its buckets, the nodes that meet most
+others, and is verified against the one whose signature is nearest. Then, of each bucket whose nodes are still in several
+components, the nodes outside its main component meet the others, in salted blocks, and only pairs of different components
+with near signatures leave the join, in the first band that they share; for these nodes signatures of 2048 minima are made. So every pair
 that the bands bring together is either verified on full sets or already connected.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, LOWER, scratch, ship, stored
 
-HASHES = 128
+HASHES, BANDED = 256, 128  # minima in a signature, and those of them that make bands
 LOW = 0x5555555555555555
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -54,24 +55,34 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     return s, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def minima(s: np.ndarray, bounds: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+def minima(s: np.ndarray, bounds: np.ndarray, hashes: int, seed: int = 20240607, block: int = 1 << 15) -> np.ndarray:
     """Universal hash minima, a row for each non-empty set, a column for each hash."""
-    rng = np.random.default_rng(20240607)
-    a = rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, hashes, dtype=np.uint64)
     full = np.flatnonzero(np.diff(bounds))
-    out = np.empty((len(full), HASHES), np.uint64)
+    out = np.empty((len(full), hashes), np.uint64)
     lo = 0
     while lo < len(full):
         hi = max(lo + 1, int(np.searchsorted(bounds[full], bounds[full[lo]] + block)))
         begin, end = bounds[full[lo]], bounds[full[hi - 1] + 1]
         x, starts = s[begin:end], bounds[full[lo:hi]] - begin
-        for i in range(HASHES):
+        for i in range(hashes):
             out[lo:hi, i] = np.minimum.reduceat(x * a[i] + b[i], starts)
         lo = hi
     return out
 
 
+def two_bits(low: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, 32 minima to an integer."""
+    two = (mixed(low) >> np.uint64(62)).reshape(len(low), low.shape[1] // 32, 32)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(signed(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -83,7 +94,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, per_band: int,
     from .byte_bpe import chunks
 
     kind = docs.schema[id_col].dataType
-    arrow_id, n_bands = to_arrow_type(kind), HASHES // per_band
+    arrow_id, n_bands = to_arrow_type(kind), BANDED // per_band
 
     def run(batches):
         for ids, texts in chunks(batches, chunk_chars):
@@ -94,18 +105,16 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, per_band: int,
             if len(full):
                 for i, y in enumerate((mixed(s ^ np.uint64(0x51)), mixed(s * np.uint64(5) + np.uint64(0xA7)))):
                     sums[i, full] = mixed(np.add.reduceat(y, bounds[full]) + n[full].astype(np.uint64))
-            low = minima(s, bounds)
-            two = (mixed(low) >> np.uint64(62)).reshape(len(full), HASHES // 32, 32)
+            low = minima(s, bounds, HASHES)
             sig = np.zeros((len(n), HASHES // 32), np.uint64)
-            sig[full] = (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
+            sig[full] = two_bits(low)
             bands = np.zeros((len(n), n_bands), np.uint64)
             rows = low[:, : n_bands * per_band].reshape(len(full), n_bands, per_band)
             value = np.tile(np.arange(n_bands, dtype=np.uint64), (len(full), 1))
             for j in range(per_band):
                 value = mixed(value * np.uint64(0x100000001B3) + rows[:, :, j])
             bands[full] = value
-            lists = [pa.FixedSizeListArray.from_arrays(signed(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (sig, bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(n), signed(sums[0]), signed(sums[1]), *lists], ["id", "n", "f1", "f2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(n), signed(sums[0]), signed(sums[1]), lists(sig), lists(bands)], ["id", "n", "f1", "f2", "sig", "bands"])
 
     schema = f"id {kind.simpleString()}, n bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -120,13 +129,37 @@ def likeness(a: str, b: str):
     return 1 - apart / F.lit(HASHES * 0.75)
 
 
+def finely_alike(a: str, b: str, hashes: int):
+    """The same of longer signatures, by a fold."""
+    apart = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(LOW))))
+    return 1 - F.aggregate(apart, F.lit(0), lambda s, x: s + x) / F.lit(hashes * 0.75)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, id_limit: int) -> DataFrame:
+    """id and text t of the documents with these ids, once each. ids are broadcast only below a checked count."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    few = ids.count() <= id_limit
+    return texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def fine_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, hashes: int, id_limit: int) -> DataFrame:
+    """id and fine, a signature of so many minima, of the documents with these ids."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                s, bounds = shingle_sets(part.column(1).to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(two_bits(minima(s, bounds, hashes, 77)))], ["id", "fine"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return stored(texts_of(docs, ids, id_col, text_col, id_limit).mapInArrow(run, f"id {kind}, fine array<bigint>"), "fine")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, id_limit: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have den * intersection >= num * union."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    # broadcast only below a checked count; else the join shuffles
-    few = ids.count() <= id_limit
-    texts = texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(docs, ids, id_col, text_col, id_limit)
     at = scratch(docs.sparkSession, "pair-texts")
     texts.write.parquet(at)
     texts = docs.sparkSession.read.schema(texts.schema).parquet(at)
@@ -179,13 +212,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100,
-    per_band: int = 4, slack: float = 0.19, block: int = 2000, chunk_chars: int = 4_000_000, id_limit: int = 1_000_000,
+    per_band: int = 4, slack: float = 0.12, fine_slack: float = 0.047, fine_hashes: int = 2048, block: int = 2000, chunk_chars: int = 4_000_000, id_limit: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     A text's set is its distinct shingles of `shingle` words, lower-cased in A-Z; with fewer words the whole sequence is the
     one shingle. Texts are linked if den * intersection >= num * union of their full sets; slack is how far below that the
-    signatures' estimate may lie before a pair is dropped unverified (five standard deviations). Bands have per_band minima
+    signatures' estimate may lie before a pair is dropped unverified (4.5 standard deviations), fine_slack the same for the longer signatures (five). Bands have per_band minima
     each: with 4 a pair at 0.8 is missed once in 20 million, with 5 a pair at 0.85 once in two million. component_id is the
     smallest id that links reach, and the document of that id is kept.
 
@@ -200,10 +233,13 @@ def near_dedup(
     part = rows.filter("n > 0 AND id IS NOT NULL")
     reps = part.groupBy("f1", "f2").agg(F.min(F.struct("id", "sig", "bands")).alias("r"))
     reps = stored(reps.select("f1", "f2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.bands").alias("bands")), "nodes")
-    spread = reps.select("id", "sig", F.explode("bands").alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "sig")).alias("lead")).filter("k > 1")
-    multi = spread.join(heads.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.sig").alias("lead_sig")), "bucket")
-    multi = stored(multi, "buckets")
+    spread = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    multi = stored(spread.join(shared, "bucket"), "buckets")
+    met = multi.groupBy("id").agg(F.sum("k").alias("met"))
+    multi = stored(multi.join(met.join(reps.select("id", "sig"), "id"), "id"), "met-buckets")
+    heads = multi.groupBy("bucket").agg(F.max(F.struct("met", "id", "sig")).alias("lead"))
+    multi = multi.join(heads.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.sig").alias("lead_sig")), "bucket")
     near = multi.filter(F.col("id") != F.col("lead")).withColumn("like", likeness("sig", "lead_sig")).filter(F.col("like") >= least)
     first = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", "like").alias("b"))
     first = stored(first, "first-pairs")
@@ -211,16 +247,21 @@ def near_dedup(
     found = components(edges)
 
     # buckets that still hold several components: nodes outside the main one meet the rest
-    placed = multi.select("bucket", "id", "sig").join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("bucket", "id", "sig", F.coalesce("comp", "id").alias("comp"))
-    placed = stored(placed, "placed")
+    home = reps.select("id", "sig", "bands").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = stored(multi.select("bucket", "band", "id").join(home.select("id", "comp"), "id"), "placed")
     sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("k"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     main = main.select(F.col("bucket"), F.col("x.comp").alias("main"), F.ceil(F.col("k") / block).alias("nk"), F.ceil((F.col("k") - F.col("x.c")) / block).alias("no"))
-    open_ = placed.join(main, "bucket")
-    one = open_.filter("comp <> main").select("bucket", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"), F.pmod(F.xxhash64("id"), F.col("no")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nk") - 1)).alias("j"))
-    all_ = open_.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), "main", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nk")).alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("no") - 1)).alias("i"))
-    met = one.join(all_, (one.bucket == all_.bucket) & (one.i == all_.i) & (one.j == all_.j) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (likeness("sa", "sb") >= least))
-    second = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "second-pairs")
+    open_ = stored(placed.join(main, "bucket"), "open")
+    fine = fine_signatures(docs, stored(open_.select("id").distinct(), "open-ids"), id_col, text_col, shingle, fine_hashes, id_limit)
+    open_ = stored(open_.join(home.select("id", "sig", "bands").join(fine, "id"), "id"), "open-signed")
+    one = open_.filter("comp <> main").select("bucket", "band", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("bands").alias("ba"), F.col("fine").alias("fa"), F.col("comp").alias("ca"), F.pmod(F.xxhash64("id"), F.col("no")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nk") - 1)).alias("j"))
+    all_ = open_.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("bands").alias("bb"), F.col("fine").alias("fb"), F.col("comp").alias("cb"), "main", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nk")).alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("no") - 1)).alias("i"))
+    new = F.lit(True)  # no band before this one brings the two together
+    for j in range(BANDED // per_band - 1):
+        new = new & ((F.col("band") <= j) | (F.col("ba")[j] != F.col("bb")[j]))
+    pairs = one.join(all_, (one.bucket == all_.bucket) & (one.i == all_.i) & (one.j == all_.j) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (likeness("sa", "sb") >= least) & new & (finely_alike("fa", "fb", fine_hashes) >= num / den - fine_slack))
+    second = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "second-pairs")
     more = stored(verified(second, docs, id_col, text_col, shingle, num, den, id_limit), "links")
     if more.limit(1).count():
         found = components(edges.unionByName(more))

@@ -3,7 +3,7 @@
 Each distinct line is parted into threshold + 1 segments. Lines within the threshold share one of them unchanged, at places
 that differ by no more than the edits allow, so an index of (length, segment number, segment) is probed with the substrings
 of every line at those places, for its own length and the shorter ones. Letter counts, which an edit changes by two at most
-in all, are compared inside the join. What is left is verified with the banded bit-parallel edit distance: the column of the
+in all, are compared inside the join, and the texts themselves where many lines share a key. What is left is verified with the banded bit-parallel edit distance: the column of the
 band that the threshold leaves is one small integer, and a line's characters are folded over it.
 """
 
@@ -137,18 +137,21 @@ def verified(pairs: DataFrame, tau: int) -> DataFrame:
     return pairs.filter((F.abs(F.length("x") - F.length("y")) <= tau) & (ordered <= tau))
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least_chars: int = 20, hot: int = 1000, id_limit: int = 1_000_000) -> DataFrame:
+def texts_of(lines: DataFrame, ids: DataFrame, id_limit: int) -> DataFrame:
+    """r and line of the distinct lines with these hashes. ids are broadcast only below a checked count."""
+    few = ids.count() <= id_limit
+    return lines.select(F.xxhash64("line").alias("r"), "line").join(F.broadcast(ids) if few else ids, "r", "left_semi").distinct()
+
+
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least_chars: int = 20, hot: int = 100, id_limit: int = 1_000_000) -> DataFrame:
     """One row per line that is not blank: id, pos (from 0), first (the line's first appearance), near (an earlier line is
     within tau edits), kept (first and not near).
 
     Lines are parted at line feeds and trimmed of spaces. Order is by (id, pos). Two lines are near if both have least_chars
     characters or more and their edit distance is at most tau; shorter lines are only compared for equality. Each distinct
-    line enters the join once. A key of the index that more than `hot` lines share is joined with the counts of one of five
-    groups of letters beside it: the lines of a near pair agree in one group at least, as tau = 2 edits change four counts
-    at most, so the parting loses none.
+    line enters the join once. Lines that share a key with more than `hot` others bring their text to the join, where the
+    pairs beyond tau edits end; so a large family of lines that are alike, but not near, leaves no pair behind.
     """
-    if not 0 < tau <= 2:
-        raise ValueError("tau is 1 or 2")
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
     names = lines.select("id", "pos", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2"))
     distinct = lines.groupBy("line").agg(F.min(F.struct("id", "pos")).alias("f"))
@@ -163,22 +166,24 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     probes = table.select(F.explode("pk").alias("key"), F.col("r1").alias("b"), F.col("c").alias("cb"))
     often = stored(entries.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot-keys")
     many = often.count()
-    close = (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau)
+    close = (entries["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau)
     if many:
         side = F.broadcast(often) if many <= id_limit else often  # broadcast only below a checked count
-        groups = [(0, 8), (8, 8), (16, 8), (24, 4), (28, 4)]
-
-        def parted(rows: DataFrame, c: str) -> DataFrame:
-            some = F.array(*[F.xxhash64("key", F.lit(g), F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << bits) - 1))) for g, (lo, bits) in enumerate(groups)])
-            return rows.join(side, "key", "left_semi").withColumn("key", F.explode(some))
-
-        entries = entries.join(side, "key", "left_anti").unionByName(parted(entries, "ca"))
-        probes = probes.join(side, "key", "left_anti").unionByName(parted(probes, "cb"))
-    found = entries.join(probes, (entries["key"] == probes["key"]) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        e, p = entries.join(side, "key", "left_semi"), probes.join(side, "key", "left_semi")
+        hot_ids = stored(e.select(F.col("a").alias("r")).union(p.select("b")).distinct(), "hot-lines")
+        texts = stored(texts_of(lines, hot_ids, id_limit), "hot-texts")
+        e = e.join(texts.select(F.col("r").alias("a"), F.col("line").alias("x")), "a")
+        p = p.join(texts.select(F.col("r").alias("b"), F.col("line").alias("y")), "b").withColumnRenamed("key", "probe")
+        entries, probes = entries.join(side, "key", "left_anti"), probes.join(side, "key", "left_anti")
+        close = (entries["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau)
+        near_too = (F.col("key") == F.col("probe")) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau) & (F.levenshtein("x", "y", tau) >= 0)
+        ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = ordered(entries.join(probes, close)).union(ordered(e.join(p, near_too))).distinct()
+    else:
+        found = entries.join(probes, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(found, "line-pairs")
     ids = stored(found.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "pair-lines")
-    few = ids.count() <= id_limit
-    texts = lines.select(F.xxhash64("line").alias("r"), "line").join(F.broadcast(ids) if few else ids, "r", "left_semi").distinct()
+    texts = texts_of(lines, ids, id_limit)
     texts = stored(texts, "pair-texts")
     pairs = found.join(texts.select(F.col("r").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("r").alias("b"), F.col("line").alias("y")), "b").select("x", "y")
     firsts = table.select("r1", "r2", F.struct("fid", "fpos").alias("f"))

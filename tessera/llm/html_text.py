@@ -1,6 +1,6 @@
 """Main text of web pages by a suffix array over each host's pages.
 
-The pages of a host lie in ranges of bounded size. The tokens of a range's pages stand end to end in one stream, a suffix
+The pages of a host are dealt into ranges of bounded size. The tokens of a range's pages stand end to end in one stream, a suffix
 array sorted to the least run's depth brings equal runs together, and runs that stand in several distinct pages are covered.
 What is covered is boilerplate; what is left, the unique runs, picks the region of the page that holds its article, and
 where no markup names such a region the blocks that are not covered are the text. Markup that says what it is (menus,
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
@@ -123,7 +123,7 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
                     pop()
                 pop()
             continue
-        if tag in BLOCK and tag != "p" or tag == "p":
+        if tag in BLOCK:
             # a block ends an open paragraph, as far as no other block lies between
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -151,8 +151,6 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             continue
         attrs = attributes(m[3]) if m[3].strip(" /") else {}
         is_noise = noisy(tag, attrs, articles > 0)
-        if is_noise:
-            flush()
         kind = 0 if noise or is_noise else region_kind(tag, attrs)
         region = -1
         if kind:
@@ -234,12 +232,12 @@ def extract(pages: list[str], least_run: int, share: float) -> list[str]:
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_run: int = 8, share: float = 0.1, range_chars: int = 6_000_000, range_pages: int = 1000
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_run: int = 8, share: float = 0.1, range_chars: int = 6_000_000, range_pages: int = 1000, host_limit: int = 100_000
 ) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
-    Pages are dealt by range of (host, hash of the id): a host with many pages fills several tasks, and a task takes at
-    most range_pages pages or about range_chars of one host at a time. Runs are sought within such a range. Null html gives
+    Pages are dealt by (host, salt), where a host has a salt for each range_pages pages, and a task takes about range_chars
+    of one of these parts at a time. Runs are sought within such a range. Null html gives
     an empty text, as does a page without visible text; pages with a null or odd URL form a host of their own. Null ids,
     repeated rows and very long pages are read like any other; an empty table gives an empty result. Columns other than the
     three are not read.
@@ -248,8 +246,13 @@ def main_text(
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("h"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    base = base.withColumn("host", host)
+    # hosts of more than range_pages pages are salted into parts; their list is broadcast only below a checked length
+    large = stored(base.groupBy("host").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > range_pages).select("host", F.ceil(F.col("k") / range_pages).alias("parts")), "large-hosts")
+    base = base.join(F.broadcast(large) if large.count() <= host_limit else large, "host", "left")
+    base = base.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0).cast("bigint")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.withColumn("host", host).withColumn("x", F.xxhash64("id", "url")).repartitionByRange(n, "host", "x").sortWithinPartitions("host", "x")
+    ranged = base.repartition(n, "host", "salt").sortWithinPartitions("host", "salt")
     kind = pages.schema[id_col].dataType.simpleString()
     names = [id_col, url_col, "text", "n_chars"]
 
@@ -264,19 +267,19 @@ def main_text(
 
         for batch in batches:
             id_type = batch.column(0).type
-            for i, url, h, host in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if held and (host != last or size >= range_chars or len(held) >= range_pages):
+            for i, url, h, *part in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if held and (part != last or size >= range_chars or len(held) >= range_pages):
                     yield done(id_type)
                     size = 0
                 ids.append(i)
                 urls.append(url)
                 held.append(h)
                 size += len(h)
-                last = host
+                last = part
         if held:
             yield done(id_type)
 
-    return ranged.select("id", "url", "h", "host").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
+    return ranged.select("id", "url", "h", "host", "salt").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
 
 
 def op1_html_extraction(spark, sf_dir):

@@ -265,7 +265,7 @@ def chunks(batches, limit: int):
         yield ids, texts
 
 
-def encode_docs(docs, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 24_000_000, with_ids: bool = True):
+def encode_docs(docs, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 24_000_000, with_ids: bool = True, batch_bytes: int = 8_000_000):
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and with with_ids the token ids.
 
     The replay runs over the distinct words of chunk_chars characters of a task's rows at a time, so memory is bounded by
@@ -285,17 +285,26 @@ def encode_docs(docs, vocab_path: str, pattern: str, id_col: str = "doc_id", tex
         coder = codec(vocab_path, pattern)
         for ids, texts in chunks(batches, chunk_chars):
             coded = coder.encode(texts)
-            cols = [
-                pa.array(ids, arrow_id),
-                pa.array([len(c) // 4 for c in coded], pa.int64()),
-                pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
-                pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded], pa.string()),
-            ]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in coded], pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            lo = 0
+            while lo < len(ids):  # batches of a bounded number of bytes, or of one text
+                hi, size = lo, 0
+                while hi < len(ids) and (hi == lo or size + len(coded[hi]) <= batch_bytes):
+                    size += len(coded[hi])
+                    hi += 1
+                part = coded[lo:hi]
+                cols = [
+                    pa.array(ids[lo:hi], arrow_id),
+                    pa.array([len(c) // 4 for c in part], pa.int64()),
+                    pa.array([hashlib.sha256(c).hexdigest() for c in part], pa.string()),
+                    pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in part], pa.string()),
+                ]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(c) // 4 for c in part)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), "<i4"))))
+                    names.append("token_ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
+                lo = hi
 
     from pyspark.sql.pandas.types import to_arrow_type
 

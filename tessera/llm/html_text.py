@@ -2,8 +2,9 @@
 
 The pages of a host are dealt into ranges of bounded size. The tokens of a range's pages stand end to end in one stream, a suffix
 array sorted to the least run's depth brings equal runs together, and runs that stand in several distinct pages are covered.
-What is covered is boilerplate; what is left, the unique runs, picks the region of the page that holds its article, and
-where no markup names such a region the blocks that are not covered are the text. Markup that says what it is (menus,
+What is covered is boilerplate; what is left, the unique runs, tells whether a page's articles by element hold its text or are
+only a part of the regions that markup names; all regions of that kind are kept, in page order. Where no markup names a
+region the blocks that are not covered are the text. Markup that says what it is (menus,
 forms, scripts, adverts, comments and so on) is dropped anywhere. Inside a region that markup names as the article, covered
 runs stay: a paragraph that another page quotes, and a page that was copied whole, are articles all the same.
 """
@@ -211,18 +212,14 @@ def extract(pages: list[str], least_run: int, share: float) -> list[str]:
     out = []
     for (blocks, kinds), page, hit in zip(parsed, tokens, hits, strict=True):
         unique = [int(k) for k in np.add.reduceat(~hit, np.cumsum([0, *map(len, page[:-1])]))] if page else []
-        best = max(kinds, default=0)
-        kept = blocks
-        if best:
-            tally = {r: 0 for r, kind in enumerate(kinds) if kind == best}
-            size = dict.fromkeys(tally, 0)
-            for b, n, t in zip(blocks, unique, page, strict=True):
-                for r in b.regions:
-                    if r in tally:
-                        tally[r] += n
-                        size[r] += len(t)
-            chosen = max(tally, key=lambda r: (tally[r], size[r], -r))
-            kept = [b for b in blocks if chosen in b.regions]
+        named = [k for k, b in enumerate(blocks) if b.regions]
+        if named:
+            # all regions together; articles by element alone if they hold most of the unique runs, or of the text where none is unique
+            by_element = [k for k in named if any(kinds[r] == 2 for r in blocks[k].regions)]
+            weight = unique if any(unique[k] for k in named) else [len(t) for t in page]
+            if 2 * sum(weight[k] for k in by_element) > sum(weight[k] for k in named):
+                named = by_element
+            kept = [blocks[k] for k in named]
         else:
             # a block stays if its unique runs are half of it; a page without any is one whose twin is among the pages
             some = [b for b, n, t in zip(blocks, unique, page, strict=True) if 2 * n >= len(t)]

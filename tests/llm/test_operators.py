@@ -323,6 +323,18 @@ def test_html(spark):
     assert html_text.main_text(empty(df)).count() == 0
 
 
+def test_html_keeps_all_regions():
+    teaser = "<article>Teaser card</article><main><h1>Real head</h1><p>The long story of the real article goes on for many more words than any card</p></main>"
+    pages = {
+        "One a\nTwo b": "<article><p>One a</p></article><p>between</p><article><p>Two b</p></article>",
+        "Part one\nPart two\nPart three": "<div class=text>Part one</div><div class='entry'>Part two</div><hr><div class=story>Part three</div>",
+        "Teaser card\nReal head\nThe long story of the real article goes on for many more words than any card": teaser,
+        "The article itself has most of the words here": "<main><p>By line</p><article>The article itself has most of the words here</article></main>",
+    }
+    for want, body in pages.items():
+        assert html_text.extract([page(body)], 8, 0.1) == [want]
+
+
 def test_covered_by_brute_force():
     rng = random.Random(4)
     for _ in range(30):

@@ -1,7 +1,8 @@
 """Main text of web pages by a suffix array over each host's pages.
 
-The pages of a host are dealt into ranges of bounded size. The tokens of a range's pages stand end to end in one stream, a suffix
-array sorted to the least run's depth brings equal runs together, and runs that stand in several distinct pages are covered.
+Pages are read in chunks of bounded size. The tokens of a chunk's pages stand end to end in one stream, and a suffix array sorted
+to the least run's depth brings equal runs together. Their page counts are summed over all chunks by host and run, and runs that
+stand in least_pages pages of the host are covered, however the pages were chunked and however large the host is.
 What is covered is boilerplate; what is left, the unique runs, tells whether a page's articles by element hold its text or are
 only a part of the regions that markup names; all regions of that kind are kept, in page order. Where no markup names a
 region the blocks that are not covered are the text. Markup that says what it is (menus,
@@ -11,6 +12,7 @@ runs stay: a paragraph that another page quotes, and a page that was copied whol
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -165,16 +167,14 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
     return blocks, kinds
 
 
-def covered(pages: list[list[str]], least_run: int, share: float) -> list[np.ndarray]:
-    """For each page's tokens whether a run of least_run tokens that several distinct pages share covers them.
+def suffixes(pages: list[list[str]], least_run: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined stream, each token's page, the starts of all whole runs of least_run tokens with equal runs together and by page within, and which of these begin a run.
 
-    The suffix array of the joined stream is sorted by prefix doubling to depth least_run; windows with equal prefixes are
-    neighbours in it. A run counts if it stands in two pages at least and in that share of all pages.
+    The suffix array of the stream is sorted by prefix doubling to depth least_run; windows with equal prefixes are
+    neighbours in it.
     """
     lengths = np.fromiter(map(len, pages), np.int64, len(pages))
     n = int(lengths.sum())
-    if len(pages) < 2 or n < least_run:
-        return [np.zeros(k, bool) for k in lengths.tolist()]
     coded = pa.array([t for p in pages for t in p], pa.large_string()).dictionary_encode()
     stream = coded.indices.to_numpy().astype(np.int64) + len(pages)
     owner = np.repeat(np.arange(len(pages)), lengths)
@@ -192,23 +192,103 @@ def covered(pages: list[list[str]], least_run: int, share: float) -> list[np.nda
     order = full[np.lexsort((owner[full], rank[full]))]  # the suffixes, equal runs together
     new_run = np.ones(len(order), bool)
     new_run[1:] = rank[order][1:] != rank[order][:-1]
+    return coded, owner, order, new_run
+
+
+def marked(pages: list[list[str]], starts: np.ndarray, least_run: int) -> list[np.ndarray]:
+    """For each page's tokens whether one of the runs that begin at these places of the stream covers them."""
+    lengths = np.fromiter(map(len, pages), np.int64, len(pages))
+    edge = np.zeros(int(lengths.sum()) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least_run, -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    return np.split(hit, np.cumsum(lengths)[:-1])
+
+
+def covered(pages: list[list[str]], least_run: int, share: float) -> list[np.ndarray]:
+    """For each page's tokens whether a run of least_run tokens that several distinct pages share covers them.
+
+    A run counts if it stands in two pages at least and in that share of all pages.
+    """
+    if len(pages) < 2 or sum(map(len, pages)) < least_run:
+        return [np.zeros(len(p), bool) for p in pages]
+    _, owner, order, new_run = suffixes(pages, least_run)
     new_page = new_run.copy()
     new_page[1:] |= owner[order][1:] != owner[order][:-1]
     group = np.cumsum(new_run) - 1
     in_pages = np.bincount(group, weights=new_page, minlength=1)
-    often = order[in_pages[group] >= max(2, share * len(pages))]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, often, 1)
-    np.add.at(edge, often + least_run, -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    return np.split(hit, np.cumsum(lengths)[:-1])
+    return marked(pages, order[in_pages[group] >= max(2, share * len(pages))], least_run)
+
+
+def keys_at(coded: pa.DictionaryArray, starts: np.ndarray, hosts: np.ndarray, least_run: int) -> np.ndarray:
+    """64-bit keys of the runs that begin at these places: 16 bits of the host's hash, then 48 of the hash of host and run."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    words = np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in coded.dictionary.to_pylist()), np.uint64)
+    stream = words[coded.indices.to_numpy()]
+    x = hosts * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(least_run):
+        x = x * np.uint64(0xD6E8FEB86659FD93) + stream[starts + j]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return (hosts & np.uint64(0xFFFF << 48)) | (x >> np.uint64(16))
+
+
+def run_counts(pages: list[list[str]], hosts: np.ndarray, least_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each run of each host in these pages, and in how many of them it stands."""
+    if sum(map(len, pages)) < least_run:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    by_host = np.argsort(hosts, kind="stable")
+    hosts = hosts[by_host]
+    coded, owner, order, new = suffixes([pages[k] for k in by_host.tolist()], least_run)
+    page = owner[order]
+    new[1:] |= hosts[page][1:] != hosts[page][:-1]
+    new_page = new.copy()
+    new_page[1:] |= page[1:] != page[:-1]
+    first = order[new]
+    counts = np.bincount(np.cumsum(new) - 1, weights=new_page).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+    return keys_at(coded, first, hosts[owner[first]], least_run), counts
+
+
+def covered_by(pages: list[list[str]], hosts: np.ndarray, least_run: int, hot: np.ndarray) -> list[np.ndarray]:
+    """For each page's tokens whether a run whose key is among the sorted hot ones covers them."""
+    lengths = np.fromiter(map(len, pages), np.int64, len(pages))
+    if not len(hot) or not lengths.sum():
+        return [np.zeros(len(p), bool) for p in pages]
+    coded = pa.array([t for p in pages for t in p], pa.large_string()).dictionary_encode()
+    owner = np.repeat(np.arange(len(pages)), lengths)
+    starts = np.flatnonzero(np.cumsum(lengths)[owner] - np.arange(len(owner)) >= least_run)
+    key = keys_at(coded, starts, hosts[owner[starts]], least_run)
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    return marked(pages, starts[hot[at] == key], least_run)
+
+
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Low bytes of 64-bit numbers, plane by plane, so that bytes that hardly change stand together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
 def extract(pages: list[str], least_run: int, share: float) -> list[str]:
-    """Main texts of the pages of a range of one host."""
+    """Main texts of pages that are all of their host."""
+    return texts_of(pages, lambda tokens: covered(tokens, least_run, share))
+
+
+def tokens_of(blocks: list[Block]) -> list[str]:
+    return [t for b in blocks for t in b.text.split()]
+
+
+def texts_of(pages: list[str], cover) -> list[str]:
+    """Main texts of pages; cover tells for each page's tokens which are covered."""
     parsed = [parse(p) for p in pages]
     tokens = [[b.text.split() for b in blocks] for blocks, _ in parsed]
-    hits = covered([[t for b in page for t in b] for page in tokens], least_run, share)
+    hits = cover([[t for b in page for t in b] for page in tokens])
     out = []
     for (blocks, kinds), page, hit in zip(parsed, tokens, hits, strict=True):
         unique = [int(k) for k in np.add.reduceat(~hit, np.cumsum([0, *map(len, page[:-1])]))] if page else []
@@ -228,55 +308,106 @@ def extract(pages: list[str], least_run: int, share: float) -> list[str]:
     return out
 
 
+def chunks(batches, chars: int, rows: int):
+    """Rows of record batches in lists of bounded size; html is the last column."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += len(row[-1])
+            if size >= chars or len(held) >= rows:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def frequent_runs(pages: DataFrame, least_run: int, least_pages: int, chars: int, rows: int) -> DataFrame:
+    """key: the runs that stand in least_pages pages of their host at least; pages has host (its hash) and h.
+
+    Chunks count their own runs; the keys are dealt by low bits, packed, and summed.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(6, min(12, (4 * n - 1).bit_length()))
+
+    def count(batches):
+        for held in chunks(batches, chars, rows):
+            hosts = np.array([r[0] for r in held], np.int64).view(np.uint64)
+            key, k = run_counts([tokens_of(parse(r[-1])[0]) for r in held], hosts, least_run)
+            bucket = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            key, k, bucket = key[order] >> np.uint64(bits), k[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(cut[1:], len(key))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cut], pa.int64()), pa.array([packed(key[a:b], 8 - bits // 8) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([packed(k[a:b], 4) for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                ["bucket", "keys", "counts"],
+            )
+
+    def add(batches):
+        def total(bucket, keys, counts):
+            key, k = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key, kind="stable")
+            key, k = key[order], k[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            often = key[first][np.add.reduceat(k, first) >= least_pages]
+            return pa.RecordBatch.from_arrays([pa.array(((often << np.uint64(bits)) | np.uint64(bucket)).view(np.int64))], ["key"])
+
+        last, keys, counts = None, [], []
+        for batch in batches:
+            for bucket, key, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if keys and bucket != last:
+                    yield total(last, keys, counts)
+                    keys, counts = [], []
+                last = bucket
+                keys.append(unpacked(key, 8 - bits // 8))
+                counts.append(unpacked(k, 4).astype(np.int64))
+        if keys:
+            yield total(last, keys, counts)
+
+    dealt = pages.select("host", "h").mapInArrow(count, "bucket bigint, keys binary, counts binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "key bigint")
+
+
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_run: int = 8, share: float = 0.1, range_chars: int = 6_000_000, range_pages: int = 1000, host_limit: int = 100_000
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_run: int = 8, least_pages: int = 3, range_chars: int = 6_000_000, range_pages: int = 1000, key_limit: int = 8_000_000
 ) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
-    Pages are dealt by (host, salt), where a host has a salt for each range_pages pages, and a task takes about range_chars
-    of one of these parts at a time. Runs are sought within such a range. Null html gives
+    Pages are read twice, in chunks of about range_chars or range_pages, which bound memory and decide nothing: once to count
+    in how many pages of its host each run stands, once to cover those that stand in least_pages. The keys of the latter are
+    broadcast; beyond key_limit the hosts are dealt into as many shards as keep each broadcast near it. Null html gives
     an empty text, as does a page without visible text; pages with a null or odd URL form a host of their own. Null ids,
-    repeated rows and very long pages are read like any other; an empty table gives an empty result. Columns other than the
-    three are not read.
+    repeated rows and very long pages are read like any other, and each row counts as a page; an empty table gives an empty
+    result. Columns other than the three are not read.
     """
-    ship(pages.sparkSession)
     spark = pages.sparkSession
+    ship(spark)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("h"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    base = base.withColumn("host", host)
-    # hosts of more than range_pages pages are salted into parts; their list is broadcast only below a checked length
-    large = stored(base.groupBy("host").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > range_pages).select("host", F.ceil(F.col("k") / range_pages).alias("parts")), "large-hosts")
-    base = base.join(F.broadcast(large) if large.count() <= host_limit else large, "host", "left")
-    base = base.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0).cast("bigint")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.repartition(n, "host", "salt").sortWithinPartitions("host", "salt")
+    base = base.withColumn("host", F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))))
+    hot = stored(frequent_runs(base, least_run, least_pages, range_chars, range_pages), "frequent-runs")
+    shards = max(1, -(-hot.count() // key_limit))
     kind = pages.schema[id_col].dataType.simpleString()
     names = [id_col, url_col, "text", "n_chars"]
 
-    def run(batches):
-        ids, urls, held, size, last = [], [], [], 0, None
+    def of(shard):
+        mine = lambda c: F.pmod(F.shiftrightunsigned(c, 48), F.lit(shards)) == shard
+        keys = spark.sparkContext.broadcast(np.sort(hot.filter(mine("key")).toArrow().column(0).to_numpy().view(np.uint64)))
 
-        def done(id_type):
-            texts = extract(held, least_run, share)
-            cols = [pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            ids.clear(), urls.clear(), held.clear()
-            return pa.RecordBatch.from_arrays(cols, names)
+        def run(batches):
+            for batch in batches:
+                id_type = batch.column(0).type
+                for held in chunks([batch], range_chars, range_pages):
+                    ids, urls, hosts, pages_ = zip(*held, strict=True)
+                    texts = texts_of(list(pages_), lambda tokens, h=hosts: covered_by(tokens, np.array(h, np.int64).view(np.uint64), least_run, keys.value))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
-        for batch in batches:
-            id_type = batch.column(0).type
-            for i, url, h, *part in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if held and (part != last or size >= range_chars or len(held) >= range_pages):
-                    yield done(id_type)
-                    size = 0
-                ids.append(i)
-                urls.append(url)
-                held.append(h)
-                size += len(h)
-                last = part
-        if held:
-            yield done(id_type)
-
-    return ranged.select("id", "url", "h", "host", "salt").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
+        return base.filter(mine("host")).select("id", "url", "host", "h").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
+
+    out = of(0)
+    for shard in range(1, shards):
+        out = out.unionAll(of(shard))
+    return out
 
 
 def op1_html_extraction(spark, sf_dir):

@@ -335,6 +335,23 @@ def test_html_keeps_all_regions():
         assert html_text.extract([page(body)], 8, 0.1) == [want]
 
 
+@pytest.mark.parametrize(("chunk", "limit"), [(1000, 8_000_000), (7, 8_000_000), (1, 3)])
+def test_html_covers_over_whole_hosts(spark, chunk, limit):
+    again = "These nine words stand on three pages of a host"
+    rows = []
+    for name, n in (("small", 20), ("large", 120)):
+        for i in range(n):
+            own = " ".join(f"{name}{i}w{k}" for k in range(12))
+            rows.append((len(rows), f"http://{name}.example/{i}", page(f"<p>{own}</p><p>{again}</p>" if i % (n // 3) == 0 and i < n - 2 else f"<p>{own}</p>"), own))
+    for i in range(2):  # on two pages of a host only: stays
+        own = " ".join(f"other{i}w{k}" for k in range(12))
+        rows.append((len(rows), f"http://other.example/{i}", page(f"<p>{own}</p><p>{again}</p>"), f"{own}\n{again}"))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.main_text(df, range_pages=chunk, key_limit=limit).collect()}
+    assert sum(again in h for _, u, h, _ in rows if "large" in u) == 3
+    assert got == {i: own for i, _, _, own in rows}
+
+
 def test_covered_by_brute_force():
     rng = random.Random(4)
     for _ in range(30):

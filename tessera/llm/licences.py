@@ -1,7 +1,7 @@
 """Licence recognition by sentences: normalised sentences to licence-sentence identifiers, identifier runs to rules.
 
 The catalogue lists, for each licence, rules in order of preference; a rule is a sequence of licence sentences. Documents
-are cut into sentences, normalised and looked up; what is left of a document is a short sequence of identifiers, against
+are cut into sentences, normalised and looked up, where a sentence that wrapped lines part is put together; what is left of a document is a short sequence of identifiers, against
 which the rules are matched in their order.
 """
 
@@ -20,10 +20,16 @@ from .common import ship
 SENTENCES = {
     "apache-ref": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "SPDX-License-Identifier: Apache-2.0"],
     "apache-obey": ["you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at"],
+    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "mit-ref": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
+    "mit-grant": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "mit-warranty": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl-redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
@@ -60,38 +66,43 @@ def sentences(text: str) -> list[str]:
 
 
 class Catalogue:
-    """Identifiers by normalised sentence, with sequences for those that the cutting parts, and rules by first identifier."""
+    """Identifiers by normalised sentence, with the beginnings at which a cut may part one, and rules by first identifier."""
 
     def __init__(self, known: dict[str, list[str]], rules: list[tuple[str, int, list[str]]]):
-        self.ids: dict[str, list[tuple[tuple[str, ...], str]]] = {}
-        self.words: set[str] = set()
+        self.ids: dict[str, str] = {}
+        self.heads: set[str] = set()
         for name, forms in known.items():
             for form in forms:
-                parts = tuple(normalised(s) for s in sentences(form))
-                self.ids.setdefault(parts[0], []).append((parts, name))
-        for v in self.ids.values():
-            v.sort(key=lambda x: -len(x[0]))
+                whole = normalised(form)
+                self.ids.setdefault(whole, name)
+                self.heads.update(m.string[: m.end()] for m in re.finditer(r"\S+", whole))
         self.rules: dict[str, list[tuple[int, str, int, tuple[str, ...]]]] = {}
         for n, (licence, score, run) in enumerate(rules):
             self.rules.setdefault(run[0], []).append((n, licence, score, tuple(run)))
 
     def tagged(self, cut: list[str]) -> list[tuple[int, str]]:
-        """Number of each licence sentence within a text's sentences, and its identifier."""
-        found, k = [], 0
-        norm: list[str | None] = [None] * len(cut)
-
-        def at(i):
-            if norm[i] is None:
-                norm[i] = normalised(cut[i])
-            return norm[i]
+        """Number of each licence sentence within a text's sentences, and its identifier.
 
+        A licence sentence may go over several of them in a row, as where lines are wrapped; the longest counts. What is
+        only marks, as a comment's empty line, lies between without effect.
+        """
+        found, k = [], 0
+        norm = [normalised(s) for s in cut]
         while k < len(cut):
-            for parts, name in self.ids.get(at(k), ()):
-                if k + len(parts) <= len(cut) and all(at(k + j) == p for j, p in enumerate(parts)):
-                    found.append((k, name))
-                    k += len(parts) - 1
+            so_far, end, name = norm[k], k, None
+            i = k
+            while so_far in self.heads:
+                if so_far in self.ids:
+                    end, name = i, self.ids[so_far]
+                i += 1
+                while i < len(cut) and not norm[i]:
+                    i += 1
+                if i == len(cut):
                     break
-            k += 1
+                so_far = f"{so_far} {norm[i]}"
+            if name:
+                found.append((k, name))
+            k = end + 1
         return found
 
     def match(self, found: list[tuple[int, str]]) -> list[tuple[str, int, int, int]]:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -238,6 +239,30 @@ def test_licences(spark, docs):
     assert licences.scan_licences(empty(df)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    mit = (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.'
+    )
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Copyright (c) 2020 A. B.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+
+    def wrapped(text, width, mark):
+        return "\n".join(mark + line for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False) or [""])
+
+    rows, want = [], {}
+    for text, licence, sequence, score in ((mit, "MIT", "mit-grant mit-warranty", 100), (mit.split("\n")[0], "MIT", "mit-grant", 80), (gpl, "GPL-3.0-or-later", "gpl-redistribute", 100), (bsd, "BSD", "bsd-redistribute", 80), (apache, "Apache-2.0", "apache-ref apache-obey apache-copy", 100)):
+        for form in (text, *(wrapped(text, n, mark) for n in (20, 72) for mark in ("", " * ", "# ", "// ")), wrapped(text, 50, "\t").replace("\n", "\r\n")):
+            want[len(rows)] = (licence, sequence, score)
+            rows.append((len(rows), form))
+    rows += [(len(rows), "Redistribution and use in source and binary forms,\nwith many changes"), (len(rows) + 1, "All rights\nof others")]
+    got = {r.doc_id: (r.licences, r.sequence, r.best_score) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {len(want): ("", "", 0), len(want) + 1: ("", "", 0)}
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

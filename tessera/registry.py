@@ -176,6 +176,14 @@ def totals(mode, goal=50):
     return run, sql
 
 
+def penalty_parts(spark, d):
+    """Penalties of the parsed records, unscaled; a page that can't be parsed has none."""
+    x = H.parsed(pages(spark, d)).filter("error is null")
+    x = x.select("page_id", "main_text", "word_count", F.size("headings").alias("heads"), F.size(F.map_keys("metadata")).alias("meta"))
+    fault = S.penalties(F.col("word_count"), F.col("heads"), F.coalesce("top_word", F.lit(0)), F.coalesce("n_capped", F.lit(0)), F.col("meta"))
+    return x.join(S.top_words(x, "page_id", "main_text"), "page_id", "left").select("page_id", r6(fault.cast("double"), "penalties"))
+
+
 def leads_at(goal):
     def run(spark, d):
         out = S.scored(ready(spark, d), "page_id", TERMS, "leadgen", goal, CLUSTERS).withColumnRenamed("total", "score")
@@ -358,7 +366,10 @@ def table():
     parse = lambda s, d: H.parsed(pages(s, d))
     one["parsed_records"] = (lambda s, d: parse(s, d).select("page_id", "title", "word_count", F.size("graph_links").alias("n_links"), F.element_at("metadata", F.lit("lang")).alias("lang"), F.size("headings").alias("n_headings"), F.col("error").isNull().alias("ok")), None)
     one["site_profile"] = (lambda s, d: parse(s, d).select("page_id", "favicon", "logo", F.size("navigation").alias("n_navigation"), F.size("colors").alias("n_colors"), F.array_join("schema_types", ",").alias("schema_types"), F.size("contact_links").alias("n_contact")), None)
-    one["query_expansions"] = (lambda s, d: A.expand(conv(s, d).filter("pos = 0"), *A.index(s), s.createDataFrame(A.TRANSLATIONS, "concept string, lang string, terms array<string>"), key="job_id"), None)
+    turns = lambda s, d: conv(s, d).select(F.struct("job_id", F.col("pos").alias("turn")).alias("k"), "query")
+    one["query_expansions"] = (lambda s, d: A.expand(turns(s, d), *A.index(s), s.createDataFrame(A.TRANSLATIONS, "concept string, lang string, terms array<string>"), key="k").select("k.job_id", "k.turn", "pos", "expanded"), None)
+    one["score_metadata"] = (lambda s, d: parse(s, d).select("page_id", r6(S.metadata_quality(F.col("metadata"), F.size("schema_org"), 5), "score")), None)
+    one["penalties"] = (penalty_parts, None)
     return one
 
 

@@ -120,10 +120,11 @@ class Filter:
 
     def __init__(self, languages: list[str], sizes: tuple[int, ...], hashes: int, m: int, rows):
         self.languages, self.sizes, self.hashes, self.m = languages, sizes, hashes, m
-        self.masks = np.zeros(((len(languages) + 63) // 64 or 1, m), np.uint64)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), 64) <= 8 * np.dtype(t).itemsize)
+        self.masks = np.zeros(((len(languages) + 63) // 64 or 1, m), kind)
         for word, slot, mask in rows:
-            self.masks[word, slot] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
-        self.leak = np.array([float((self.masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) ** hashes for i in range(len(languages))])
+            self.masks[word, slot] = kind(mask & 0xFFFFFFFFFFFFFFFF)
+        self.leak = np.array([float(((self.masks[i // 64] & kind(1 << i % 64)) != 0).mean()) ** hashes for i in range(len(languages))])
 
     def have(self, key: np.ndarray, size: int) -> np.ndarray:
         """Per mask word, the languages that have each n-gram."""
@@ -155,12 +156,13 @@ class Filter:
         return [self.languages[b] if ok and len(self.languages) else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] = (1, 2, 3), as_usual: float = 0.5, hashes: int = 3, m: int = 1 << 20, chunk_chars: int = 4_000_000) -> Filter:
+def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] = (1, 2, 3), as_usual: float = 0.5, hashes: int = 3, m: int | None = None, chunk_chars: int = 4_000_000) -> Filter:
     """The filter of all rows of train with a text and a language.
 
     Tasks count distinct n-grams by language and chunk; Spark sums the counts. A language has an n-gram if its share of the
     language's n-grams of that size is at least as_usual times the largest share in any language. Only the slots, m at most
-    for each 64 languages, come to the driver.
+    for each 64 languages, come to the driver. Unless given, m is a power of two with 16 slots at least for each n-gram of
+    the language that has most, 2^20 at least, so that a language's leak stays below 0.6 % at every size.
     """
     import pyarrow as pa
 
@@ -190,7 +192,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
     languages = sorted(r.lang for r in rows.select("lang").distinct().toLocalIterator())
     number = {x: i for i, x in enumerate(languages)}
     if not languages:
-        return Filter([], sizes, hashes, m, [])
+        return Filter([], sizes, hashes, m or 1, [])
     counts = rows.mapInArrow(count, "lang string, g int, key bigint, n bigint").groupBy("lang", "g", "key").agg(F.sum("n").alias("n"))
     from .common import stored
 
@@ -199,6 +201,10 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
     share = counts.join(F.broadcast(totals), ["lang", "g"]).withColumn("p", F.col("n") / F.col("of"))  # a row for each language and size
     top = share.groupBy("g", "key").agg(F.max("p").alias("most"), F.collect_list(F.struct("lang", "p")).alias("all"))  # a row of a list for each language at most
     kept = top.select("g", "key", F.explode(F.filter("all", lambda x: x["p"] >= as_usual * F.col("most"))).alias("x")).select("g", "key", F.col("x.lang").alias("lang"))
+    if m is None:
+        kept = stored(kept, "ngrams-kept")
+        largest = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+        m = max(1 << 20, 1 << (16 * largest - 1).bit_length())
 
     def enter(batches):
         for batch in batches:
@@ -225,7 +231,7 @@ def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col:
 
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(filter_)  # m slots at most for each 64 languages, whatever the corpus
+    model = spark.sparkContext.broadcast(filter_)  # m slots for each 64 languages, of a byte for up to eight
     names = [id_col, *also]
     out_names = [f"c{k}" for k in range(len(names) + 2)]  # by place, as names may clash
     read = names if text_col in names else [*names, text_col]

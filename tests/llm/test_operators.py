@@ -160,6 +160,15 @@ def test_language(spark, docs):
     assert language_id.identify(empty(df), model).count() == 0
 
 
+def test_language_filter_grows_with_its_ngrams(spark):
+    rng = np.random.default_rng(5)
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 1000))) for _ in range(200)]
+    rows = [*((t, "zh") for t in many), ("the cat sat on the mat", "en")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert model.leak.max() < 0.006
+    assert set(model.decide([many[0][:50]])[0]) == {"zh"}
+
+
 def test_bit_sliced_filter_has_no_false_negatives():
     key = np.random.default_rng(1).integers(0, 2**60, 500)
     rows = [(0, int(s), 1 << (n % 3)) for n in range(500) for s in [int(x[n]) for x in language_id.slots(key, 2, 3, 4096)]]

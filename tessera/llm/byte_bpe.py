@@ -17,7 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import slices
+
 NONE = np.int32(2**31 - 1)
+#: Words, and ids in them, that a worker keeps from chunk to chunk.
+KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
 
 
 class Ranks:
@@ -200,12 +204,37 @@ class Codec:
         self.table, self.split = ranks(path), regex.compile(pattern)
         lengths = np.fromiter(map(len, self.table.tokens), np.int64, self.table.size)
         self.token_bytes = np.frombuffer(b"".join(self.table.tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.spelt = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _replayed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words; only those that no chunk before had are replayed.
+
+        Words are kept from chunk to chunk up to KEPT_WORDS of them and KEPT_IDS ids; beyond that all are forgotten.
+        """
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        todo = np.flatnonzero(at < 0)
+        flat, starts, lengths = self.spelt
+        if len(todo):
+            new = [words[k] for k in todo.tolist()]
+            more, begin, size = replay(self.table, new)
+            at[todo] = len(starts) + np.arange(len(new))
+            flat, starts, lengths = np.concatenate((flat, more)), np.concatenate((starts, begin + len(flat))), np.concatenate((lengths, size))
+            if len(starts) <= KEPT_WORDS and len(flat) <= KEPT_IDS:
+                self.known.update(zip(new, at[todo].tolist(), strict=True))
+                self.spelt = flat, starts, lengths
+            else:
+                self._forget()
+        return flat, starts[at], lengths[at]
 
     def _spell(self, words: list[str], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of ids for groups of words; group k begins at word begin[k]."""
         coded = pa.array(words, pa.large_string()).dictionary_encode()
         distinct = [w.encode("utf-8") for w in coded.dictionary.to_pylist()]
-        flat, at = gather(*replay(self.table, distinct), coded.indices.to_numpy())
+        flat, at = gather(*self._replayed(distinct), coded.indices.to_numpy())
         bounds = at[np.concatenate((begin, [len(words)])).astype(np.int64)]
         return flat, bounds[:-1], np.diff(bounds)
 
@@ -246,30 +275,33 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker: later tasks find the units of earlier ones."""
+    """One for each Python worker: later tasks find its tables made, and the words of earlier ones."""
     return Codec(path, pattern)
 
 
 def chunks(batches, limit: int):
-    """(ids, texts) lists of about limit characters from Arrow batches of (id, text); a text is never cut."""
+    """(ids, texts) lists of about limit bytes from Arrow batches of (id, text); a text is never cut.
+
+    Only the slice that fills a chunk is turned into Python strings, whatever the size of a batch.
+    """
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+    for part in slices(batches, max(1, limit // 4)):
+        ids += part.column(0).to_pylist()
+        more = [t or "" for t in part.column(1).to_pylist()]
+        texts += more
+        size += sum(map(len, more))
+        if size >= limit:
+            yield ids, texts
+            ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def encode_docs(docs, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 24_000_000, with_ids: bool = True, batch_bytes: int = 8_000_000):
+def encode_docs(docs, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8_000_000, with_ids: bool = True, batch_bytes: int = 8_000_000):
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and with with_ids the token ids.
 
-    The replay runs over the distinct words of chunk_chars characters of a task's rows at a time, so memory is bounded by
-    the chunk (and by the longest single text); nothing is shuffled. Every match of the pattern is encoded by itself and
+    The replay runs over the distinct words of chunk_chars characters of a task's rows at a time that the worker has not met,
+    so memory is bounded by the chunk (and by the longest single text); nothing is shuffled. Every match of the pattern is encoded by itself and
     there are no special tokens. Null text counts as empty: no tokens, and the digests of no bytes. Null ids and repeated
     rows pass through as they are; an empty table gives an empty result. Columns other than the two are not read.
     """

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, slices
 
 BITS = 21  # a code point
 
@@ -65,7 +65,7 @@ def grams(c: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Alphabet:
     """The n-grams of a chunk as small numbers, where its letters are few enough for a table."""
 
-    def __init__(self, c: np.ndarray, limit: int = 1 << 23):
+    def __init__(self, c: np.ndarray, limit: int = 1 << 21):
         self.c, self.limit = c, limit
         self.chars = np.flatnonzero(np.bincount(c, minlength=1)) if len(c) else np.zeros(1, np.int64)
         self.small = np.zeros(0x110000, np.int64)
@@ -156,7 +156,7 @@ class Filter:
         return [self.languages[b] if ok and len(self.languages) else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] = (1, 2, 3), as_usual: float = 0.5, hashes: int = 3, m: int | None = None, chunk_chars: int = 4_000_000) -> Filter:
+def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] = (1, 2, 3), as_usual: float = 0.5, hashes: int = 3, m: int | None = None, chunk_chars: int = 1_000_000) -> Filter:
     """The filter of all rows of train with a text and a language.
 
     Tasks count distinct n-grams by language and chunk; Spark sums the counts. A language has an n-gram if its share of the
@@ -167,10 +167,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
     import pyarrow as pa
 
     def count(batches):
-        held: dict[str, list[str]] = {}
-        size = 0
-
-        def flush():
+        def counted(held):
             for lang, texts in held.items():
                 alphabet = Alphabet(codes(texts)[0])
                 for g in sizes:
@@ -178,14 +175,11 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
                     n = np.bincount(num, minlength=len(key)) if len(key) else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), g, np.int32)), pa.array(key, pa.int64()), pa.array(n.astype(np.int64))], ["lang", "g", "key", "n"])
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in slices(batches, chunk_chars):
+            held: dict[str, list[str]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= chunk_chars:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+            yield from counted(held)
 
     ship(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
@@ -220,7 +214,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, sizes: tuple[int, ...] =
     return Filter(languages, sizes, hashes, m, set_slots.toLocalIterator())
 
 
-def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 4_000_000, also: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1_000_000, also: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """One row per input row: id, the columns named in also, lang_pred, score; out renames the last two where names clash.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, and with any letter the language with most
@@ -238,24 +232,10 @@ def identify(docs: DataFrame, filter_: Filter, id_col: str = "doc_id", text_col:
     place = read.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            preds, scores, held, size = [], [], [], 0
-            for t in texts:
-                held.append(t)
-                size += len(t)
-                if size >= chunk_chars:
-                    p, s = model.value.decide(held)
-                    preds += p
-                    scores.append(s)
-                    held, size = [], 0
-            if held:
-                p, s = model.value.decide(held)
-                preds += p
-                scores.append(s)
-            cols = [batch.column(i) for i in range(len(names))]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(score, pa.float64())], out_names)
+        for part in slices(batches, chunk_chars, (place,)):
+            preds, scores = model.value.decide([t or "" for t in part.column(place).to_pylist()])
+            cols = [part.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], out_names)
 
     kinds = [docs.schema[n].dataType.simpleString() for n in names] + ["string", "double"]
     found = docs.select(*read).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(out_names, kinds, strict=True)))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, scratch, ship, stored
+from .common import LOWER, SQL_LOWER, UPPER, scratch, ship, slices, stored
 
 HASHES, BANDED = 256, 128  # minima in a signature, and those of them that make bands
 LOW = 0x5555555555555555
@@ -91,14 +91,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, per_band: int,
     """id, n (size of the set), f1 and f2 (its fingerprint), sig (two bits of each minimum), bands."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    from .byte_bpe import chunks
-
     kind = docs.schema[id_col].dataType
     arrow_id, n_bands = to_arrow_type(kind), BANDED // per_band
 
     def run(batches):
-        for ids, texts in chunks(batches, chunk_chars):
-            s, bounds = shingle_sets(texts, k)
+        for part in slices(batches, chunk_chars, row_chars=8 * HASHES):
+            s, bounds = shingle_sets(part.column(1).to_pylist(), k)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
             sums = np.zeros((2, len(n)), np.uint64)
@@ -114,7 +112,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, per_band: int,
             for j in range(per_band):
                 value = mixed(value * np.uint64(0x100000001B3) + rows[:, :, j])
             bands[full] = value
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(n), signed(sums[0]), signed(sums[1]), lists(sig), lists(bands)], ["id", "n", "f1", "f2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow_id), pa.array(n), signed(sums[0]), signed(sums[1]), lists(sig), lists(bands)], ["id", "n", "f1", "f2", "sig", "bands"])
 
     schema = f"id {kind.simpleString()}, n bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -146,11 +144,9 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str,
     """id and fine, a signature of so many minima, of the documents with these ids."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                s, bounds = shingle_sets(part.column(1).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(two_bits(minima(s, bounds, hashes, 77)))], ["id", "fine"])
+        for part in slices(batches, 1_000_000, row_chars=8 * hashes):
+            s, bounds = shingle_sets(part.column(1).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(two_bits(minima(s, bounds, hashes, 77)))], ["id", "fine"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return stored(texts_of(docs, ids, id_col, text_col, id_limit).mapInArrow(run, f"id {kind}, fine array<bigint>"), "fine")
@@ -166,17 +162,15 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
-                s, bounds = shingle_sets([*ta, *tb], k)
-                m, keep = len(ta), np.zeros(len(ta), bool)
-                for i in range(m):
-                    x, y = s[bounds[i] : bounds[i + 1]], s[bounds[m + i] : bounds[m + i + 1]]
-                    inter = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = inter > 0 and den * inter >= num * (len(x) + len(y) - inter)
-                yield pa.RecordBatch.from_arrays([pc.filter(part.column(c), pa.array(keep)) for c in (0, 1)], ["a", "b"])
+        for part in slices(batches, 1_000_000, (2, 3)):
+            ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
+            s, bounds = shingle_sets([*ta, *tb], k)
+            m, keep = len(ta), np.zeros(len(ta), bool)
+            for i in range(m):
+                x, y = s[bounds[i] : bounds[i + 1]], s[bounds[m + i] : bounds[m + i + 1]]
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = inter > 0 and den * inter >= num * (len(x) + len(y) - inter)
+            yield pa.RecordBatch.from_arrays([pc.filter(part.column(c), pa.array(keep)) for c in (0, 1)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -212,7 +206,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100,
-    per_band: int = 4, slack: float = 0.12, fine_slack: float = 0.047, fine_hashes: int = 2048, block: int = 2000, chunk_chars: int = 4_000_000, id_limit: int = 1_000_000,
+    per_band: int = 4, slack: float = 0.12, fine_slack: float = 0.047, fine_hashes: int = 2048, block: int = 2000, chunk_chars: int = 2_000_000, id_limit: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -276,3 +270,15 @@ def op10_minhash_dedup(spark, sf_dir):
     from .common import read
 
     return near_dedup(read(spark, sf_dir, "documents"), shingle=3, num=85, per_band=5)
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^ \\t\\n\\x0b\\x0c\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.seen = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM (SELECT doc_id, min(seen) AS c FROM reach GROUP BY 1) LEFT JOIN size USING (doc_id)
+"""

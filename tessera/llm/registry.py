@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_warc": warc.ORACLE, "op10_minhash_dedup": minhash.ORACLE}

@@ -43,6 +43,7 @@ SKIPPED = (
     "lite.duckduckgo.com yahoo.com search.yahoo.com brave.com ecosia.org w3.org schemas.live.com yimg.com s.yimg.com"
 ).split()
 NOISE_TAGS = "nav header footer aside script style noscript iframe form button input select".split()
+NOISE_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden"
 NOISE_CLASS = r"cookie|banner|popup|modal|overlay|ad-|ads-"
 META_NAMES = ["description", "keywords", "author", "robots"]
 OG_NAMES = ["og:title", "og:description", "og:image", "og:type", "og:url", "og:site_name"]
@@ -116,6 +117,20 @@ SOCIALS = {
     "facebook": r"facebook\.com/[\w.]+", "instagram": r"instagram\.com/[\w.]+", "twitter": r"twitter\.com/[\w.]+", "linkedin": r"linkedin\.com/(?:company|in)/[\w\-]+",
     "youtube": r"youtube\.com/(?:channel|user|c)/[\w\-]+", "wechat": r"weixin\.qq\.com|mp\.weixin", "weibo": r"weibo\.com/[\w.]+", "line": r"line\.me/[\w/]+",
 }
+#: Suffixes of the stemmer, in the order in which they are tried, with what takes their place.
+STEM_PLURALS = {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}
+STEM_PAST = ["eed", "ed", "ing"]
+STEM_MENDED = ("at", "bl", "iz")
+STEM_DOUBLED = "lsz"
+STEM_DERIVED = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
+    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEM_ADJECTIVES = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEM_LAST = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+#: Of research queries what is added by region; queries without a region get the last.
+RESEARCH_REGIONS = {"sea": ["Thailand", "Singapore", "Malaysia", "Vietnam"], "europe": ["Germany", "France", "UK"]}
+RESEARCH_CHINA, RESEARCH_NOWHERE = "China mainland", "international global"
 CONTACT_WORDS = ["contact", "about", "reach", "联系", "お問い合わせ"]
 
 

@@ -69,17 +69,28 @@ def penalties(n_words: Column, n_headings: Column, top_word: Column, n_capped: C
     return one(n_words < 50, 20) + one(n_headings == 0, 5) + one((n_capped > 0) & (top_word / n_capped > 0.05), 15) + one(n_meta == 0, 3)
 
 
-def top_words(pages: DataFrame, key: str, text: str, cap: int = 50_000) -> DataFrame:
-    """key, n_capped, top_word: words of the capped text and how often its most frequent word stands in it.
+def stuffing(text: Column, cap: int = 50_000) -> Column:
+    """n_capped and top_word: words of the capped text and how often its most frequent word stands in it.
 
-    Counts are added up before the shuffle and after it, by key and word.
+    Worked out in the row: the words are sorted, and the longest run of one word counts. Nothing is shuffled.
     """
-    w = pages.select(key, F.explode(T.words(F.lower(F.substring(F.col(text), 1, cap)))).alias("w"))
-    counts = w.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg(F.sum("n").alias("n_capped"), F.max("n").alias("top_word"))
+    w = F.array_sort(T.words(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, cap))))
+    begin = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(s, x):
+        run = F.when(s["word"] == x, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("word"), run.alias("run"), F.greatest(s["top"], run).alias("top"))
+
+    return F.struct(F.size(w).cast("bigint").alias("n_capped"), F.aggregate(w, begin, step, lambda s: s["top"]).cast("bigint").alias("top_word"))
+
+
+def top_words(pages: DataFrame, key: str, text: str, cap: int = 50_000) -> DataFrame:
+    """key, n_capped, top_word of the rows that have any word."""
+    rows = pages.select(key, stuffing(F.col(text), cap).alias("s"))
+    return rows.filter("s.n_capped > 0").select(key, "s.n_capped", "s.top_word")
 
 
-def scored(pages: DataFrame, key: str, wanted: list[str], mode: str, goal: int = 50, clusters: dict[str, list[str]] = K.CLUSTERS) -> DataFrame:
+def scored(pages: DataFrame, wanted: list[str], mode: str, goal: int = 50, clusters: dict[str, list[str]] = K.CLUSTERS) -> DataFrame:
     """pages with the components, penalties and total.
 
     Needs the columns main_text, title, word_count, headings, language, metadata, schema_org, entities and inbound.
@@ -94,10 +105,10 @@ def scored(pages: DataFrame, key: str, wanted: list[str], mode: str, goal: int =
         "multilingual": multilingual(F.col("language"), w["multilingual"]), "metadata_quality": metadata_quality(F.col("metadata"), F.size("schema_org"), w["metadata_quality"]),
         "link_authority": link_authority(F.col("inbound"), w["link_authority"]),
     }
-    out = pages.join(top_words(pages, key, "main_text"), key, "left").withColumns(parts)
-    fault = penalties(n, F.size("headings"), F.coalesce("top_word", F.lit(0)), F.coalesce("n_capped", F.lit(0)), F.size(F.map_keys("metadata"))) * scale
+    out = pages.withColumns(parts).withColumn("stuffing", stuffing(F.col("main_text")))
+    fault = penalties(n, F.size("headings"), F.col("stuffing.top_word"), F.col("stuffing.n_capped"), F.size(F.map_keys("metadata"))) * scale
     raw = F.lit(0.0)
     for c in K.COMPONENTS:
         raw = raw + F.col(c)
     total = F.greatest(F.lit(0), F.least(F.lit(100), (raw - F.col("fault")).cast("int")))
-    return out.withColumn("fault", fault).withColumn("total", total).withColumn("penalties", -F.bround("fault", 1)).drop("fault", "top_word", "n_capped")
+    return out.withColumn("fault", fault).withColumn("total", total).withColumn("penalties", -F.bround("fault", 1)).drop("fault", "stuffing")

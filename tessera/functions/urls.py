@@ -55,17 +55,28 @@ def bare_domain(url: Column) -> Column:
     return F.regexp_replace(domain(url), "^[w.]+", "")
 
 
+def dotless(path: Column) -> Column:
+    """A rooted path without its `.` and `..` segments: each `..` takes away the segment before it."""
+    parts = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda have, x: F.when(x == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0)))).when(x == ".", have).otherwise(F.concat(have, F.array(x))))
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(F.regexp_like(path, F.lit(r"(^|/)\.{1,2}(/|$)")), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 def joined(base: Column, href: Column) -> Column:
     """href seen from base, for the forms that links take: absolute, scheme-relative, rooted, query, fragment, relative."""
     scheme, root = F.concat(part(base, 1), F.lit("://")), F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(F.regexp_extract(base, r"^([^?#]*)", 1), r"(?<=[^/:])/[^/]*$", "")
     here = F.regexp_extract(base, r"^([^?#]*)", 1)
+    rooted = lambda to: F.concat(root, dotless(F.regexp_extract(to, "^([^?#]*)", 1)), F.regexp_extract(to, "^[^?#]*(.*)$", 1))
+    folder = F.regexp_replace(folder, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*", "")
     return (
         F.when(F.regexp_like(href, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.rtrim(F.regexp_replace(scheme, "//$", "")), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("/")), rooted(href))
         .when(F.startswith(href, F.lit("?")), F.concat(here, href))
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
         .when(href == "", base)
-        .otherwise(F.concat(folder, F.lit("/"), href))
+        .otherwise(rooted(F.concat(folder, F.lit("/"), href)))
     )

@@ -65,7 +65,7 @@ def bfs_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = K.MAX_DEPTH)
     """url, depth: fewest links from a seed, as far as max_depth. Each level is a join, written to the shared folder."""
     from ..plans.shared import written
 
-    links = edges.select("from_url", "to_url").distinct()
+    links = written(edges.select("from_url", "to_url").distinct(), "bfs-links")
     found = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "bfs")
     front = found
     for d in range(1, max_depth + 1):

@@ -21,6 +21,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # ---- built-ins only
 
+HREF = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
 
 def unescaped(x: Column) -> Column:
     for mark, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " ")):
@@ -60,10 +62,11 @@ def structure(html: Column) -> Column:
 
 
 def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, pos, href, anchor of each link of the raw page, repeated ones too."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    """key, pos, href, anchor of each link of the raw page, repeated ones too; href in double, single or no quotes."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<a\s(?:[^>]*?\s)?{HREF}[^>]*>.*?</a>"), F.lit(0))
     each = pages.select(key, F.posexplode(found).alias("pos", "a"))
-    return each.select(key, "pos", unescaped(F.regexp_extract("a", r'(?is)href="([^"]*)"', 1)).alias("href"), F.substring(plain(F.col("a")), 1, 200).alias("anchor"))
+    href = F.concat(*[F.regexp_extract("a", rf"(?is)^<a\s(?:[^>]*?\s)?{HREF}", k) for k in (1, 2, 3)])
+    return each.select(key, "pos", unescaped(href).alias("href"), F.substring(plain(F.col("a")), 1, 200).alias("anchor"))
 
 
 # ---- the parser
@@ -122,17 +125,26 @@ class Node:
 
 
 class Tree(HTMLParser):
+    """Elements as they open and close. How many of a name are open is counted, so a stray end tag is found at once."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open = Counter()
+
+    def leave(self, node):
+        """Closes all elements up to this one."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.open["p"]:
             n = self.at
             while n.parent is not None and n.tag not in ("p", "td", "div", "body", "li"):
                 n = n.parent
             if n.tag == "p":
-                self.at = n.parent
+                self.leave(n)
         got = {}
         for k, v in attrs:
             got.setdefault(k, v or "")
@@ -140,16 +152,17 @@ class Tree(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if self.open[tag]:
+            n = self.at
+            while n.tag != tag:
+                n = n.parent
+            self.leave(n)
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -185,36 +198,50 @@ def json_ld(root: Node) -> list:
 
 
 def drop_noise(root: Node) -> None:
-    bad = re.compile(K.NOISE_CLASS, re.I)
-    for n in list(root.walk()):
-        style, classes = n.attrs.get("style", ""), n.attrs.get("class", "").split()
-        if n.tag in K.NOISE_TAGS or re.search(r"display:\s*none|visibility:\s*hidden", style) or any(bad.search(c) for c in classes):
-            if n in n.parent.kids:
-                n.parent.kids.remove(n)
-
-
-def block_score(n: Node) -> float:
-    words = len(n.text(" ").split())
-    if words < 5:
-        return 0.0
-    score = words / (sum(1 for _ in n.walk()) + 1)
-    if n.within("article", "main"):
-        score *= 2
-    if n.within("nav", "footer", "aside", "header"):
-        score *= 0.2
-    before = n.parent.kids[: n.parent.kids.index(n)]
-    return score * 1.3 if any(isinstance(k, Node) and k.tag in HEADINGS for k in before) else score
+    """Takes out noise by element, by style and by class, each with all that it holds; one pass from the top."""
+    bad, hiding = re.compile(K.NOISE_CLASS, re.I), re.compile(K.NOISE_STYLE)
+
+    def noise(n):
+        return n.tag in K.NOISE_TAGS or hiding.search(n.attrs.get("style", "")) or any(bad.search(c) for c in n.attrs.get("class", "").split())
+
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not noise(k)]
+        stack.extend(k for k in n.kids if isinstance(k, Node))
+
+
+def block_scores(root: Node) -> list[tuple[float, Node]]:
+    """Score of each div, section and td in the order of the page: words an element, twice in an article or main part, a
+    fifth in a page's margins, a third more after a heading. Words and elements are summed from the leaves up."""
+    order, words, size, factor = [], {}, {}, {}
+    stack = [(root, 1.0, False, False)]
+    while stack:
+        n, mine, inside, margin = stack.pop()
+        order.append(n)
+        factor[id(n)] = mine
+        inside, margin, after, below = inside or n.tag in ("article", "main"), margin or n.tag in ("nav", "footer", "aside", "header"), False, []
+        for k in n.kids:
+            if isinstance(k, Node):
+                below.append((k, (2.0 if inside else 1.0) * (0.2 if margin else 1.0) * (1.3 if after else 1.0), inside, margin))
+                after = after or k.tag in HEADINGS
+        stack.extend(reversed(below))
+    for n in reversed(order):
+        below = [k for k in n.kids if isinstance(k, Node)]
+        words[id(n)] = sum(len(k.split()) for k in n.kids if isinstance(k, str)) + sum(words[id(k)] for k in below)
+        size[id(n)] = 1 + sum(size[id(k)] for k in below)
+    return [(words[id(n)] / size[id(n)] * factor[id(n)] if words[id(n)] >= 5 else 0.0, n) for n in order if n.tag in ("div", "section", "td")]
 
 
 def main_part(root: Node) -> str:
     named = lambda c: lambda n: c in n.attrs.get("class", "").split()
+    # the first element that a selector finds counts, be it empty
     picks = [lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main", named("content"), lambda n: n.attrs.get("id") == "content", named("post"), named("entry")]
     for pick in picks:
         n = next((n for n in root.walk() if pick(n)), None)
-        if n is not None and (text := n.text(" ")):
-            return text
-    blocks = [(block_score(n), n) for n in root.all("div", "section", "td")]
-    best = max(blocks, key=lambda b: b[0], default=(0, None))
+        if n is not None:
+            return n.text(" ")
+    best = max(block_scores(root), key=lambda b: b[0], default=(0, None))
     return best[1].text(" ") if best[0] > 0 else root.text(" ")[:5000]
 
 
@@ -270,7 +297,8 @@ def site(root: Node, base: str) -> dict:
             contacts.add(urljoin(base, href))
     kinds = sorted({str(b["@type"]) for b in blocks if isinstance(b, dict) and b.get("@type")})
     return {
-        "logo": logo, "favicon": urljoin(base, icon), "colors": palette(root), "navigation": nav[:20], "schema_types": kinds, "og": {k: v for k, v in m.items() if k.startswith("og:")},
+        "logo": logo, "favicon": urljoin(base, icon), "colors": palette(root), "navigation": nav[:20], "schema_types": kinds,
+        "og": {n.attrs["property"]: n.attrs.get("content", "") for n in root.all("meta") if n.attrs.get("property", "").startswith("og:")},
         "contact_links": sorted(contacts)[:10], "socials": socials, "description": m.get("og:description") or m.get("description") or m.get("twitter:description") or "",
     }
 

@@ -15,16 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 
-#: Suffixes of the stemmer, tried in this order.
-STEP1A = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
-STEP1B = [("eed", "ee"), ("ed", ""), ("ing", "")]
-STEP2 = [
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
-    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-]
-STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-
 VOCABULARY = [
     ("football", "sports", ["football", "soccer"]), ("sports_academy", "sports", ["sports academy", "academy"]), ("hotel", "travel", ["hotel", "resort", "guest house"]),
     ("logistics", "logistics", ["logistics", "freight forwarding", "shipping"]), ("university", "education", ["university", "college"]), ("restaurant", "food", ["restaurant", "catering"]),
@@ -36,9 +26,16 @@ TRANSLATIONS = [
 ]
 
 
-def measure(s: str) -> int:
-    """Runs of vowels that a consonant ends."""
-    return len(re.findall("V+C", "".join("V" if c in "aeiou" else "C" for c in s)))
+def ends(word: str, suffixes: list[str], least: int = 0) -> str | None:
+    """The first of the suffixes that the word ends with and that leaves so many letters before it."""
+    return next((s for s in suffixes if word.endswith(s) and len(word) - len(s) >= least), None)
+
+
+def mended(word: str) -> str:
+    """What is left of a word when -ed or -ing goes: at, bl and iz get their e back, a doubled letter becomes one."""
+    if word.endswith(K.STEM_MENDED):
+        return word + "e"
+    return word[:-1] if len(word) > 1 and word[-1] == word[-2] and word[-1] not in K.STEM_DOUBLED else word
 
 
 def stem(word: str) -> str:
@@ -46,38 +43,19 @@ def stem(word: str) -> str:
     w = word.lower()
     if len(w) <= 2:
         return w
-    for end, new in STEP1A:
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + new
-            break
-    for end, new in STEP1B:
-        if w.endswith(end):
-            rest = w[: len(w) - len(end)]
-            if end == "eed":
-                w = rest + new if measure(rest) > 0 else w
-            elif re.search("[aeiou]", rest):
-                w = rest
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-            break
-    for end, new in STEP2:
-        if w.endswith(end):
-            rest = w[: len(w) - len(end)]
-            w = rest + new if measure(rest) > 1 else w
-            break
-    for end, new in STEP3:
-        if w.endswith(end):
-            rest = w[: len(w) - len(end)]
-            w = rest + new if measure(rest) > 0 else w
-            break
-    for end in STEP4:
-        if w.endswith(end):
-            rest = w[: len(w) - len(end)]
-            w = rest if measure(rest) > 1 else w
-            break
-    return w
+    if found := ends(w, list(K.STEM_PLURALS)):
+        w = w.removesuffix(found) + K.STEM_PLURALS[found]
+    found = ends(w, K.STEM_PAST)
+    if found == "eed":
+        w = w[:-1] if len(w) > 4 else w
+    elif found and set(w.removesuffix(found)) & set("aeiou"):
+        w = mended(w.removesuffix(found))
+    for table, least in ((K.STEM_DERIVED, 2), (K.STEM_ADJECTIVES, 1)):
+        if found := ends(w, list(table), least):
+            w = w.removesuffix(found) + table[found]
+    found = ends(w, K.STEM_LAST)
+    rest = w.removesuffix(found) if found else ""
+    return rest if len(rest) > 1 and (found != "ion" or rest[-1] in "st") else w
 
 
 def index(spark: SparkSession, vocabulary=VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -98,19 +76,67 @@ def index(spark: SparkSession, vocabulary=VOCABULARY) -> tuple[DataFrame, DataFr
     return t, p
 
 
-def stems(tokens: DataFrame, column: str) -> DataFrame:
-    """Adds the stem of each distinct word of a column, worked out once a word in Arrow batches."""
+def index_of(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of a table (pos, concept, domain, synonyms); pos orders the concepts, of which there may be 2^18."""
+    one = vocabulary.select("pos", "concept", "domain", F.posexplode("synonyms").alias("at", "synonym"))
+    one = one.withColumn("parts", F.regexp_extract_all(F.lower("synonym"), F.lit("[a-z0-9]+"), F.lit(0)))
+    each = one.select("pos", "concept", "domain", "at", F.when(F.size("parts") == 1, 10).otherwise(8).alias("tenths"), F.posexplode("parts").alias("k", "word"))
+    seq = F.col("pos").cast("bigint") * (1 << 16) + F.col("at") * 256 + F.col("k")
+    tokens = stems(each, "word").select(F.col("stem").alias("token"), "concept", "domain", "tenths", seq.alias("seq"))
+    phrase = F.array_join("parts", "_")
+    longest_first = (F.lit(1 << 12) - F.least(F.length(phrase), F.lit(4095))).cast("bigint") * (1 << 26) + F.col("pos") * 256 + F.col("at")
+    return tokens, one.filter(F.size("parts") > 1).select(phrase.alias("phrase"), "concept", "domain", longest_first.alias("seq"))
+
+
+def swapped(w, table: dict[str, str], least: int = 0):
+    """A word with the first of the suffixes that leaves so many letters before it exchanged."""
+    out = F
+    for end, new in table.items():
+        out = out.when(F.endswith(w, F.lit(end)) & (F.length(w) >= len(end) + least), F.concat(F.left(w, F.length(w) - len(end)), F.lit(new)))
+    return out.otherwise(w)
+
 
-    @F.pandas_udf("string")
-    def stemmed(s):
-        known: dict[str, str] = {}
-        return s.map(lambda w: known.setdefault(w, stem(w)) if w is not None and w not in known else known.get(w))
+def let(value, f):
+    """f of a value that is worked out once, and that no rule of the optimizer writes out again."""
+    return F.transform(F.array(value), f)[0]
 
-    return tokens.withColumn("stem", stemmed(column))
+
+def unpast(w):
+    """A word without -ed or -ing after a vowel, mended; -eed loses its last letter."""
+    past = F.when(F.endswith(w, F.lit("eed")), F.lit(None).cast("string"))
+    for end in K.STEM_PAST[1:]:
+        rest = F.left(w, F.length(w) - len(end))
+        past = past.when(F.endswith(w, F.lit(end)) & F.regexp_like(rest, F.lit("[aeiou]")), rest)
+
+    def mend(r):
+        last, before = F.substring(r, -1, 1), F.substring(F.left(r, F.length(r) - 1), -1, 1)
+        doubled = (F.length(r) > 1) & (last == before) & ~F.contains(F.lit(K.STEM_DOUBLED), last)
+        again = F.when(F.regexp_like(r, F.lit(f"({'|'.join(K.STEM_MENDED)})$")), F.concat(r, F.lit("e"))).when(doubled, F.left(r, F.length(r) - 1)).otherwise(r)
+        return F.when(r.isNotNull(), again).when(F.endswith(w, F.lit("eed")) & (F.length(w) > 4), F.left(w, F.length(w) - 1)).otherwise(w)
+
+    return let(past, mend)
+
+
+def unended(w):
+    """A word without the first of the last list's endings that it has, if enough is left."""
+    out = F
+    for end in K.STEM_LAST:
+        enough = F.length(w) > len(end) + 1
+        out = out.when(F.endswith(w, F.lit(end)), F.when(enough & F.regexp_like(w, F.lit("[st]ion$")) if end == "ion" else enough, F.left(w, F.length(w) - len(end))).otherwise(w))
+    return out.otherwise(w)
+
+
+def stems(tokens: DataFrame, column: str) -> DataFrame:
+    """Adds the stem of each word of a column: stem() as built-ins, each step once."""
+    plural = let(F.lower(column), lambda w: swapped(w, K.STEM_PLURALS))
+    derived = let(let(plural, unpast), lambda w: swapped(w, K.STEM_DERIVED, 2))
+    done = let(let(derived, lambda w: swapped(w, K.STEM_ADJECTIVES, 1)), unended)
+    return tokens.withColumn("stem", F.when(F.length(column) <= 2, F.lower(column)).otherwise(done))
 
 
 def concepts(queries: DataFrame, tokens: DataFrame, phrases: DataFrame, key: str = "query_id", query: str = "query", top: int = 8, stemmed: bool = True) -> DataFrame:
-    """key, concept, domain, tenths, rank: the top concepts of each query. Vocabulary tables are broadcast; they are the caller's.
+    """key, concept, domain, tenths, rank: the top concepts of each query. The phrases, which are looked for inside the joined words, are
+    broadcast: a vocabulary is the caller's, of some thousand rows. Tokens and translations are joined by size.
 
     A phrase that the joined words hold adds 20 tenths, each word its weights. Ties go to what was met first: phrases from
     the longest, then words in the query's order.
@@ -121,7 +147,7 @@ def concepts(queries: DataFrame, tokens: DataFrame, phrases: DataFrame, key: str
     by_phrase = joined.join(F.broadcast(phrases), F.contains(F.col("all"), F.col("phrase"))).select(key, "concept", "domain", F.lit(20).alias("tenths"), F.col("seq").cast("bigint").alias("seen"))
     each = words.select(key, F.posexplode("w").alias("pos", "word")).filter("length(word) > 2")
     each = stems(each, "word") if stemmed else each.withColumn("stem", F.col("word"))
-    by_word = each.join(F.broadcast(tokens), F.col("stem") == F.col("token")).select(key, "concept", "domain", "tenths", (F.lit(1 << 20) + F.col("pos").cast("bigint") * (1 << 20) + F.col("seq")).alias("seen"))
+    by_word = each.join(tokens, F.col("stem") == F.col("token")).select(key, "concept", "domain", "tenths", (F.lit(1 << 40) + F.col("pos").cast("bigint") * (1 << 40) + F.col("seq")).alias("seen"))
     sums = by_phrase.unionByName(by_word).groupBy(key, "concept", "domain").agg(F.sum("tenths").alias("tenths"), F.min("seen").alias("seen"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("tenths"), "seen"))
     return sums.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -135,7 +161,7 @@ def domains(ranked: DataFrame, key: str = "query_id") -> DataFrame:
 
 def translations(ranked: DataFrame, table: DataFrame, key: str = "query_id") -> DataFrame:
     """key, lang, terms: distinct terms of the top concepts in their order. table: concept, lang, terms."""
-    rows = ranked.join(F.broadcast(table), "concept").groupBy(key, "lang").agg(F.array_sort(F.collect_list(F.struct("rank", "terms"))).alias("x"))  # eight concepts at most
+    rows = ranked.join(table, "concept").groupBy(key, "lang").agg(F.array_sort(F.collect_list(F.struct("rank", "terms"))).alias("x"))  # eight concepts at most
     return rows.select(key, "lang", F.array_distinct(F.flatten(F.col("x.terms"))).alias("terms"))
 
 
@@ -177,7 +203,10 @@ def expand(queries: DataFrame, tokens: DataFrame, phrases: DataFrame, table: Dat
         cities = F.coalesce(*[F.when(F.col("region") == r, F.array(*map(F.lit, c))) for r, c in K.CITIES.items() if c], none)
         english = F.concat(F.transform(F.filter(cities, lambda c: ~F.contains(low, F.lower(c))), plus), F.transform(pick(K.SUFFIXES["leadgen"], "contact email"), plus))
     elif mode == "research":
-        english = F.concat(F.transform(pick(K.SUFFIXES["research"], "industry market report"), plus), F.array(plus(F.lit("association directory"))))
+        places = F.when(F.col("region").isNull(), F.array(F.lit(K.RESEARCH_NOWHERE))).when(F.col("region") == "china", F.array(F.lit(K.RESEARCH_CHINA)))
+        for r, names in K.RESEARCH_REGIONS.items():
+            places = places.when(F.col("region") == r, F.filter(F.array(*map(F.lit, names)), lambda c: ~F.contains(low, F.lower(c))))
+        english = F.concat(F.transform(pick(K.SUFFIXES["research"], "industry market report"), plus), F.array(plus(F.lit("association directory"))), F.transform(places.otherwise(none), plus))
     else:
         english = F.array(plus(F.lit("official site")), plus(F.lit("about contact")))
     langs = active_languages(F.col("q"), F.col("region"), forced)

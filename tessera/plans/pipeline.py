@@ -28,21 +28,23 @@ def edges_of(rows: DataFrame) -> DataFrame:
 def score_records(rows: DataFrame, edges: DataFrame, queries: list[str], mode: str, goal: int) -> DataFrame:
     inbound = G.in_degree(edges)
     ready = rows.join(inbound, "url", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
-    return S.scored(ready, "url", S.terms(queries), mode, goal)
+    return S.scored(ready, S.terms(queries), mode, goal)
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, queries: list[str], mode: str = "leadgen", goal: int = 50, batch: int = 20, most_steps: int = 1000):
+def crawl(pages: DataFrame, seeds: DataFrame, queries: list[str], mode: str = "leadgen", goal: int = 50, batch: int = 20):
     """Crawls the offline pages (url, html) from the seeds; returns scored pages, nodes and edges.
 
     Each step takes the next batch, skips what low pages lead to and adds what the batch leads to. In personal mode links
-    to other domains are not followed. The graph's tables are written to the shared folder after each step.
+    to other domains are not followed. Of pages with one URL that with the least html counts. The graph's tables are written
+    to the shared folder after each step; the crawl ends when no pending node is left that may be crawled.
     """
-    rows = written(records(pages.withColumn("url", U.normalized(F.col("url"))).dropDuplicates(["url"])), "pages")
+    once = pages.groupBy(U.normalized(F.col("url")).alias("url")).agg(F.min("html").alias("html"))
+    rows = written(records(once), "pages")
     edges = written(edges_of(rows), "edges")
     scores = written(score_records(rows, edges, queries, mode, goal), "scores")
     nodes = seeds.select(U.normalized(F.col("url")).alias("url")).filter(U.valid(F.col("url"))).distinct().select("url", F.lit(0).alias("score"), F.lit(0).alias("depth"), F.lit("pending").alias("status"))
     nodes = written(nodes, "nodes")
-    for _ in range(most_steps):
+    while True:
         todo = written(G.next_batch(nodes, batch).select("url"), "batch")  # `batch` rows at most
         if todo.isEmpty():
             break

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets one of its own, and any other is an
+    error: executors elsewhere would not see a folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("tessera.shared.dir", at)
     return at.rstrip("/")

@@ -52,6 +52,11 @@ class Store:
     def jobs(self) -> DataFrame:
         return current_jobs(self.table("jobs")).join(self.table("pages").groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("page_count")), "id", "left").orderBy(F.desc("created_at"))
 
+    def job(self, id_: str) -> dict | None:
+        """The job's current row; null if there is none."""
+        row = current_jobs(self.table("jobs").filter(F.col("id") == id_)).first()
+        return None if row is None else row.asDict()
+
     def pages(self, job_id: str, min_score: int = 0, limit: int = 500) -> DataFrame:
         if not (0 <= min_score <= 100 and 1 <= limit <= 1000):
             raise ValueError("min_score is 0 to 100, limit 1 to 1000")

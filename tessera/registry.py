@@ -15,6 +15,7 @@ from .operators import graph as G
 from .operators import html as H
 from .operators import semantic as A
 from .plans import store as P
+from .plans.shared import written
 from .sources import pages as SP
 
 #: What the driver queries look for: frequent words of the corpus in place of a user's query and clusters.
@@ -119,8 +120,13 @@ def documents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
+def records(spark, d):
+    """Parsed pages: one pass over html."""
+    return H.parsed(pages(spark, d))
+
+
 def mains(spark, d):
-    return pages(spark, d).select("page_id", "url", "html", H.title(F.col("html")).alias("title"), H.article_text(F.col("html")).alias("main_text"))
+    return records(spark, d).select("page_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("main_text", F.lit("")).alias("main_text"))
 
 
 def edges(spark, d):
@@ -144,11 +150,20 @@ NODES = f"SELECT url, least(100, floor(len({words_sql('main_text')}) / 10))::INT
 
 
 def ready(spark, d):
-    """Records of all pages by built-ins, with in-degrees."""
-    whole = F.concat(F.col("main_text"), F.lit(" "), F.col("title"))
-    m = mains(spark, d).withColumn("entities", T.entities(whole)).withColumn("language", T.language(F.col("main_text"))).withColumn("word_count", T.word_count(F.col("main_text"))).withColumn("headings", H.headings(F.col("html")))
-    m = m.withColumn("metadata", F.map_filter(F.create_map(F.lit("lang"), F.regexp_extract("html", '(?i)<html[^>]*lang="([^"]*)"', 1)), lambda k, v: v != "")).withColumn("schema_org", F.array().cast("array<string>"))
-    return m.join(G.in_degree(edges(spark, d)), "url", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    """Records of all pages with entities and in-degrees. They are stored once, so that html is parsed once and the patterns
+    run once, and in-degrees and scores read the columns that they need."""
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("title", "main_text")]
+    m = records(spark, d).filter("error is null").select("page_id", "url", *text, "word_count", "headings", "metadata", "schema_org", "graph_links")
+    m = m.withColumn("entities", T.entities(F.concat(F.col("main_text"), F.lit(" "), F.col("title")))).withColumn("language", T.language(F.col("main_text")))
+    m = written(m, "records")
+    inbound = G.in_degree(m.select(F.explode("graph_links").alias("x")).select("x.url").withColumnRenamed("url", "to_url"))
+    return m.join(inbound, "url", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+
+
+META_SQL = (
+    """regexp_matches(html, '(?i)<meta[^>]+property=["'']og:(title|description)["''][^>]+content=["''][^"'']') AS og, regexp_matches(html, '(?i)<meta[^>]+name=["'']description["''][^>]+content=["''][^"'']{21}') AS described, """
+    """contains(html, 'application/ld+json') AS linked_data, regexp_matches(html, '(?i)<meta[^>]+property=["'']og:image["''][^>]+content=["''][^"'']') AS pictured"""
+)
 
 
 def total_sql(mode: str, goal: int) -> dict[str, str]:
@@ -158,10 +173,10 @@ def total_sql(mode: str, goal: int) -> dict[str, str]:
     heads = "len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'))"
     return {
         "m": M, "e": EDGES, "i": "SELECT to_url, count(*) AS inbound FROM e GROUP BY 1",
-        "x": f"SELECT page_id, url, title, main_text, lower(main_text || ' ' || title) AS low, len({words_sql('main_text')}) AS n, {heads} AS heads, regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1) <> '' AS meta, {LANG.replace('TXT', 'main_text')} AS language, {ents} FROM m",
+        "x": f"SELECT page_id, url, title, main_text, lower(main_text || ' ' || title) AS low, len({words_sql('main_text')}) AS n, {heads} AS heads, regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1) <> '' AS meta, {META_SQL}, {LANG.replace('TXT', 'main_text')} AS language, {ents} FROM m",
         "w": f"SELECT page_id, max(c) AS top, sum(c) AS capped FROM (SELECT page_id, w, count(*) AS c FROM (SELECT page_id, unnest({words_sql('lower(main_text[1:50000])')}) AS w FROM m) GROUP BY 1, 2) GROUP BY 1",
         "c": f"SELECT x.*, {keyword_sql('low', 'n', w['keyword_freq'])} AS kf, {cluster_sql('low', w['semantic_cluster'])} AS sc, {contact_sql(w['contact_presence'])} AS cp, {length_sql('n', w['content_length'])} AS cl, "
-        f"CASE language WHEN 'mixed' THEN {float(w['multilingual'])}::DOUBLE WHEN 'zh' THEN {w['multilingual'] / 2}::DOUBLE ELSE 0 END AS ml, 0::DOUBLE AS mq, least({float(w['link_authority'])}::DOUBLE, {ln_share('coalesce(inbound, 0)', 50)} * {w['link_authority']}) AS la, "
+        f"CASE language WHEN 'mixed' THEN {float(w['multilingual'])}::DOUBLE WHEN 'zh' THEN {w['multilingual'] / 2}::DOUBLE ELSE 0 END AS ml, {w['metadata_quality'] / 4}::DOUBLE * (og::INT + described::INT + linked_data::INT + pictured::INT) AS mq, least({float(w['link_authority'])}::DOUBLE, {ln_share('coalesce(inbound, 0)', 50)} * {w['link_authority']}) AS la, "
         f"((CASE WHEN n < 50 THEN 20 ELSE 0 END) + (CASE WHEN heads = 0 THEN 5 ELSE 0 END) + (CASE WHEN coalesce(top / capped, 0) > 0.05 THEN 15 ELSE 0 END) + (CASE WHEN meta THEN 0 ELSE 3 END)) * {scale}::DOUBLE AS fault FROM x LEFT JOIN w USING (page_id) LEFT JOIN i ON to_url = url",
         "s": "SELECT *, greatest(0, least(100, trunc(0::DOUBLE + kf + sc + cp + cl + ml + mq + la - fault)::INT)) AS total FROM c",
     }
@@ -169,7 +184,7 @@ def total_sql(mode: str, goal: int) -> dict[str, str]:
 
 def totals(mode, goal=50):
     def run(spark, d):
-        out = S.scored(ready(spark, d), "page_id", TERMS, mode, goal, CLUSTERS)
+        out = S.scored(ready(spark, d), TERMS, mode, goal, CLUSTERS)
         return out.select("page_id", "total", r6(F.col("keyword_freq"), "keyword_freq"), r6(F.col("semantic_cluster"), "semantic_cluster"), r6(F.col("contact_presence"), "contact_presence"), r6(F.col("content_length"), "content_length"), r6(F.col("link_authority"), "link_authority"))
 
     sql = cte(**total_sql(mode, goal)) + "SELECT page_id, total, round(kf, 6) AS keyword_freq, round(sc, 6) AS semantic_cluster, round(cp, 6) AS contact_presence, round(cl, 6) AS content_length, round(la, 6) AS link_authority FROM s"
@@ -179,14 +194,14 @@ def totals(mode, goal=50):
 def penalty_parts(spark, d):
     """Penalties of the parsed records, unscaled; a page that can't be parsed has none."""
     x = H.parsed(pages(spark, d)).filter("error is null")
-    x = x.select("page_id", "main_text", "word_count", F.size("headings").alias("heads"), F.size(F.map_keys("metadata")).alias("meta"))
-    fault = S.penalties(F.col("word_count"), F.col("heads"), F.coalesce("top_word", F.lit(0)), F.coalesce("n_capped", F.lit(0)), F.col("meta"))
-    return x.join(S.top_words(x, "page_id", "main_text"), "page_id", "left").select("page_id", r6(fault.cast("double"), "penalties"))
+    x = x.select("page_id", S.stuffing(F.col("main_text")).alias("s"), "word_count", F.size("headings").alias("heads"), F.size(F.map_keys("metadata")).alias("meta"))
+    fault = S.penalties(F.col("word_count"), F.col("heads"), F.col("s.top_word"), F.col("s.n_capped"), F.col("meta"))
+    return x.select("page_id", r6(fault.cast("double"), "penalties"))
 
 
 def leads_at(goal):
     def run(spark, d):
-        out = S.scored(ready(spark, d), "page_id", TERMS, "leadgen", goal, CLUSTERS).withColumnRenamed("total", "score")
+        out = S.scored(ready(spark, d), TERMS, "leadgen", goal, CLUSTERS).withColumnRenamed("total", "score")
         return P.leads(out, goal)
 
     joined = ", ".join(f"array_to_string({c}, '; ') AS {c}" for c in ("emails", "phones", "wechat", "line_ids", "organizations", "locations"))
@@ -215,6 +230,22 @@ def regions_sql(which, x):
     return "CASE " + " ".join(f"WHEN contains(lower({x}), {q(k)}) THEN {q(r)}" for k, r in K.regions(which)) + " END"
 
 
+def stem_sql() -> dict[str, str]:
+    """Steps of the stemmer over the distinct words of k: each a table of word and w."""
+
+    def table(suffixes, least):
+        return "CASE " + " ".join(f"WHEN suffix(w, {q(x)}) AND length(w) >= {len(x) + least} THEN left(w, length(w) - {len(x)}) || {q(y)}" for x, y in suffixes.items()) + " ELSE w END AS w"
+
+    past = " ".join(f"WHEN suffix(w, {q(x)}) AND regexp_matches(left(w, length(w) - {len(x)}), '[aeiou]') THEN left(w, length(w) - {len(x)})" for x in K.STEM_PAST[1:])
+    mended = f"CASE WHEN {' OR '.join(f'suffix(r, {q(x)})' for x in K.STEM_MENDED)} THEN r || 'e' WHEN length(r) > 1 AND r[-1] = r[-2] AND r[-1] NOT IN ({', '.join(map(q, K.STEM_DOUBLED))}) THEN left(r, length(r) - 1) ELSE r END"
+    last = " ".join(f"WHEN suffix(w, {q(x)}) THEN CASE WHEN length(w) > {len(x) + 1}" + (" AND regexp_matches(w, '[st]ion$')" if x == "ion" else "") + f" THEN left(w, length(w) - {len(x)}) ELSE w END" for x in K.STEM_LAST)
+    return {
+        "s0": "SELECT DISTINCT word, word AS w FROM k WHERE length(word) > 2", "s1": f"SELECT word, {table(K.STEM_PLURALS, 0)} FROM s0", "s2": f"SELECT word, w, CASE WHEN suffix(w, 'eed') THEN NULL {past} END AS r FROM s1",
+        "s3": f"SELECT word, CASE WHEN r IS NOT NULL THEN {mended} WHEN suffix(w, 'eed') AND length(w) > 4 THEN left(w, length(w) - 1) ELSE w END AS w FROM s2",
+        "s4": f"SELECT word, {table(K.STEM_DERIVED, 2)} FROM s3", "s5": f"SELECT word, {table(K.STEM_ADJECTIVES, 1)} FROM s4", "s6": f"SELECT word, CASE {last} ELSE w END AS w FROM s5",
+    }
+
+
 def vocab_sql():
     tokens, phrases = [], []
     for c, dom, syn in TOPICS:
@@ -229,14 +260,15 @@ def vocab_sql():
     return {
         "t": t, "p": p, "w": "SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents", "j": "SELECT doc_id, array_to_string(w, '_') AS whole FROM w",
         "k": "SELECT doc_id, w[i] AS word, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)",
-        "h": "SELECT doc_id, concept, domain, 20 AS tenths, seq::BIGINT AS seen FROM j JOIN p ON contains(whole, phrase) UNION ALL SELECT doc_id, concept, domain, tenths, (1048576 + pos * 1048576 + seq)::BIGINT FROM k JOIN t ON word = token WHERE length(word) > 2",
+        **stem_sql(),
+        "h": "SELECT doc_id, concept, domain, 20 AS tenths, seq::BIGINT AS seen FROM j JOIN p ON contains(whole, phrase) UNION ALL SELECT doc_id, concept, domain, tenths, (1048576 + pos * 1048576 + seq)::BIGINT FROM k JOIN s6 USING (word) JOIN t ON s6.w = token",
         "s": "SELECT doc_id, concept, domain, sum(tenths)::BIGINT AS tenths, min(seen) AS seen FROM h GROUP BY ALL",
         "r": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tenths DESC, seen) AS rank FROM s QUALIFY rank <= 8",
     }
 
 
 def ranked(spark, d):
-    return A.concepts(documents(spark, d), *A.index(spark, TOPICS), key="doc_id", query="text", stemmed=False)
+    return A.concepts(documents(spark, d), *A.index(spark, TOPICS), key="doc_id", query="text")
 
 
 def signs_sql(table, x):
@@ -277,7 +309,7 @@ def table():
         f"SELECT page_id, {n('header')} > 0 AS has_header, {n('footer')} > 0 AS has_footer, {n('nav')} > 0 AS has_nav, {n('main')} > 0 AS has_main, {n('article')} > 0 AS has_article, {n('aside')} > 0 AS has_sidebar, {n('form')} AS form_count, {n('img')} AS image_count, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS total_links, {n('h1')} AS h1_count, contains(html, 'application/ld+json') AS has_schema FROM pages",
     )
     one["page_links"] = (lambda s, d: E(s, d), cte(e=EDGES) + "SELECT * FROM e")
-    one["link_edges_capped"] = (lambda s, d: G.capped(E(s, d), 3).select("from_url", "to_url"), cte(e=EDGES) + "SELECT from_url, to_url FROM e WHERE pos < 3")
+    one["link_edges_capped"] = (lambda s, d: G.capped(E(s, d)).select("from_url", "to_url"), cte(e=EDGES) + "SELECT from_url, to_url FROM e WHERE pos < 50")
     one["in_degree"] = (lambda s, d: G.in_degree(E(s, d)), cte(e=EDGES) + "SELECT to_url AS url, count(*) AS inbound FROM e GROUP BY 1")
     one["url_domain"] = (lambda s, d: pages(s, d).select("page_id", U.domain(F.col("url")).alias("domain"), U.bare_domain(F.col("url")).alias("bare")), f"SELECT page_id, {DOMAIN} AS domain, regexp_replace({DOMAIN}, '^[w.]+', '') AS bare FROM pages")
     one["domain_counts"] = (lambda s, d: pages(s, d).groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {DOMAIN} AS domain, count(*) AS n FROM pages GROUP BY 1")
@@ -364,12 +396,12 @@ def table():
         "SELECT count(*) AS total_jobs, count_if(o_orderstatus = 'F') AS done, count_if(o_orderstatus = 'O') AS running, count_if(o_orderstatus NOT IN ('F', 'O')) AS failed, count(*) AS total_pages FROM orders",
     )
     parse = lambda s, d: H.parsed(pages(s, d))
-    one["parsed_records"] = (lambda s, d: parse(s, d).select("page_id", "title", "word_count", F.size("graph_links").alias("n_links"), F.element_at("metadata", F.lit("lang")).alias("lang"), F.size("headings").alias("n_headings"), F.col("error").isNull().alias("ok")), None)
+    one["parsed_records"] = (lambda s, d: parse(s, d).select("page_id", "title", "word_count", F.size("graph_links").alias("n_links"), F.element_at("metadata", F.lit("lang")).alias("lang"), F.size("headings").alias("n_headings"), F.col("error").isNull().alias("ok")), cte(m=M, e=EDGES, n="SELECT from_url, count(*) AS n_links FROM e GROUP BY 1") + f"SELECT page_id, title, len({words_sql('main_text')}) AS word_count, coalesce(n_links, 0) AS n_links, nullif(regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1), '') AS lang, least(30, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'))) AS n_headings, true AS ok FROM m LEFT JOIN n ON from_url = url")
     one["site_profile"] = (lambda s, d: parse(s, d).select("page_id", "favicon", "logo", F.size("navigation").alias("n_navigation"), F.size("colors").alias("n_colors"), F.array_join("schema_types", ",").alias("schema_types"), F.size("contact_links").alias("n_contact")), None)
     turns = lambda s, d: conv(s, d).select(F.struct("job_id", F.col("pos").alias("turn")).alias("k"), "query")
     one["query_expansions"] = (lambda s, d: A.expand(turns(s, d), *A.index(s), s.createDataFrame(A.TRANSLATIONS, "concept string, lang string, terms array<string>"), key="k").select("k.job_id", "k.turn", "pos", "expanded"), None)
-    one["score_metadata"] = (lambda s, d: parse(s, d).select("page_id", r6(S.metadata_quality(F.col("metadata"), F.size("schema_org"), 5), "score")), None)
-    one["penalties"] = (penalty_parts, None)
+    one["score_metadata"] = (lambda s, d: parse(s, d).select("page_id", r6(S.metadata_quality(F.col("metadata"), F.size("schema_org"), 5), "score")), f"SELECT page_id, round(1.25::DOUBLE * (og::INT + described::INT + linked_data::INT + pictured::INT), 6) AS score FROM (SELECT page_id, {META_SQL} FROM pages)")
+    one["penalties"] = (penalty_parts, cte(**total_sql("leadgen", 50)) + "SELECT page_id, round(fault, 6) AS penalties FROM c")  # the scale is 1 at goal 50
     return one
 
 

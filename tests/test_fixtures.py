@@ -1,8 +1,11 @@
 """Golden cases of URLs, entities, pages, scores, graphs, expansion and fingerprints."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as K
 from tessera.functions import fingerprint as FP
 from tessera.functions import score as S
 from tessera.functions import text as T
@@ -10,7 +13,8 @@ from tessera.functions import urls as U
 from tessera.operators import graph as G
 from tessera.operators import html as H
 from tessera.operators import semantic as A
-from tessera.plans import pipeline, store
+from tessera.plans import discovery, jobs, pipeline, store
+from tessera.sources import fetch as fetching
 from tessera.streaming import ingest
 
 
@@ -37,7 +41,7 @@ def test_url_predicates(spark):
 
 
 def test_joined(spark):
-    cases = {"/n": "https://h.example/n", "?a=1": "https://h.example/d/p?a=1", "//o.example/z": "https://o.example/z", "q": "https://h.example/d/q", "https://x.example/": "https://x.example/", "#t": "https://h.example/d/p?k=1#t"}
+    cases = {"/n": "https://h.example/n", "?a=1": "https://h.example/d/p?a=1", "//o.example/z": "https://o.example/z", "q": "https://h.example/d/q", "https://x.example/": "https://x.example/", "#t": "https://h.example/d/p?k=1#t", "../x": "https://h.example/x", "./y?u=a/../b": "https://h.example/d/y?u=a/../b", "/a/./b/../c": "https://h.example/a/c", "/a/..": "https://h.example/", "/../../z": "https://h.example/z", "a/b/.": "https://h.example/d/a/b/"}
     got = {h: spark.createDataFrame([("https://h.example/d/p?k=1", h)], "b string, h string").select(U.joined(F.col("b"), F.col("h")).alias("y")).first().y for h in cases}
     assert got == cases
 
@@ -74,6 +78,22 @@ def test_record(spark, lost):
     assert (r[2].main_text, r[2].error) == ("", None)
 
 
+def test_links_in_all_quotes(spark):
+    df = spark.createDataFrame([(1, """<a href="/a">A</a><a class=x href='/b'>B <i>b</i></a><a href=/c>C</a><a data-href="/no">N</a><A HREF = "/d?x=1&amp;y=2">D</A>""")], "k long, html string")
+    assert [(r.pos, r.href, r.anchor) for r in H.anchors(df, "k", "html").orderBy("pos").collect()] == [(0, "/a", "A"), (1, "/b", "B b"), (2, "/c", "C"), (3, "/d?x=1&y=2", "D")]
+
+
+def test_hidden_text_and_selectors():
+    text = lambda html: H.record("https://h.example/", html, False)["main_text"]
+    assert text("<article>a<p style='display : none'>b</p><p style='visibility:hidden'>c</p></article>") == "a"
+    assert text("<article></article><main>m</main>") == ""  # the first element found counts
+    assert text("<main>m <b>n</b></main><div class='post'>p</div>") == "m n"
+    og = H.record("https://h.example/", "<meta property='og:title' content='one'><meta property='og:title' content='two'>", False)
+    assert (og["og"], og["title"]) == ({"og:title": "two"}, "one")
+    deep = "<div>" * 20_000 + "one two three four five six" + "</p></li>" * 20_000
+    assert text(deep) == "one two three four five six"
+
+
 def test_block_fallback_and_palette():
     assert H.main_part(H.tree("<div>a b c d</div><h2>x</h2><div>one two three four five six</div>")) == "one two three four five six"
     assert H.palette(H.tree('<p style="color:#abc;border:#AABBCC;background:#fff;x:#808080">x</p><p style="color:#1a2b3c">')) == ["#AABBCC", "#1A2B3C"]
@@ -110,6 +130,87 @@ def test_stems():
     assert {w: A.stem(w) for w in want} == want
 
 
+def row_model_stem(word):
+    """The stemmer by its description, a suffix at a time."""
+    w = word.lower()
+    if len(w) <= 2:
+        return w
+    for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(suffix):
+            w = w[: len(w) - len(suffix)] + new
+            break
+    had = None
+    if w.endswith("eed"):
+        w = w[:-1] if len(w) - 3 > 1 else w
+    elif w.endswith("ed") and any(c in w[:-2] for c in "aeiou"):
+        had = w[:-2]
+    elif w.endswith("ing") and any(c in w[:-3] for c in "aeiou"):
+        had = w[:-3]
+    if had is not None:
+        if had[-2:] in ("at", "bl", "iz"):
+            had += "e"
+        elif len(had) > 1 and had[-1] == had[-2] and had[-1] not in "lsz":
+            had = had[:-1]
+        w = had
+    for table, more_than in ((K.STEM_DERIVED, 1), (K.STEM_ADJECTIVES, 0)):
+        for suffix, new in table.items():
+            if w.endswith(suffix) and len(w) - len(suffix) > more_than:
+                w = w[: len(w) - len(suffix)] + new
+                break
+    for suffix in K.STEM_LAST:
+        if w.endswith(suffix):
+            rest = w[: len(w) - len(suffix)]
+            if len(rest) > 1 and (suffix != "ion" or rest[-1] in "st"):
+                w = rest
+            break
+    return w
+
+
+def test_stems_by_row_model(spark, sf_small):
+    words = {w for r in spark.read.parquet(f"{sf_small}/documents.parquet").select(F.explode(T.words(F.lower("text"))).alias("w")).distinct().collect() for w in [r.w]}
+    heads = "a ab st nat oper relat freez hopp fall fizz agr free plann see Station nation troubl rat".split()
+    suffixes = [*K.STEM_PLURALS, *K.STEM_PAST, *K.STEM_DERIVED, *K.STEM_ADJECTIVES, *K.STEM_LAST, "ings", "eeds", "ations", "sion", "tion"]
+    words |= {h + x for h in heads for x in suffixes} | set(heads)
+    assert len(words) > 2000
+    assert {w: A.stem(w) for w in words} == {w: row_model_stem(w) for w in words}
+    assert (A.stem("station"), A.stem("nation")) == ("st", "nat")
+    got = A.stems(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()
+    assert {r.w: r.stem for r in got} == {w: A.stem(w) for w in words}
+
+
+def test_vocabulary_of_a_table(spark):
+    q = spark.createDataFrame([(1, "football academy in Thailand, guest house shipping"), (2, "hotels and hotel resorts")], "query_id long, query string")
+    table = spark.createDataFrame([(n, *v) for n, v in enumerate(A.VOCABULARY)], "pos int, concept string, domain string, synonyms array<string>")
+    rows = lambda index: sorted((r.query_id, r["rank"], r.concept, r.tenths) for r in A.concepts(q, *index).collect())
+    assert rows(A.index_of(table)) == rows(A.index(spark))
+
+
+def test_golden_expansion(spark):
+    """The golden case in full, with a vocabulary that has the region's languages."""
+    q = spark.createDataFrame([(1, "football academy Thailand")], "query_id long, query string")
+    terms = {
+        "football": {"zh": ["足球"], "th": ["ฟุตบอล"], "ms": ["bola sepak"], "vi": ["bóng đá"]},
+        "sports_academy": {"zh": ["体育学院", "运动学院"], "th": ["อคาเดมีกีฬา"], "ms": ["akademi sukan"], "vi": ["học viện thể thao"]},
+    }
+    tr = spark.createDataFrame([(c, lang, x) for c, by in terms.items() for lang, x in by.items()], "concept string, lang string, terms array<string>")
+    got = [r.expanded for r in A.expand(q, *A.index(spark), tr).orderBy("pos").collect()]
+    first = "football academy Thailand"
+    assert got == [
+        first, *(f"{first} {x}" for x in ("Bangkok", "Singapore", "Kuala Lumpur", "academy", "club")), "体育学院运动学院足球 联系方式", "อคาเดมีกีฬา ฟุตบอล", "akademi sukan bola sepak",
+        "akademi sukan bola sepak akademi sukan bola sepak", "học viện thể thao bóng đá", "học viện thể thao bóng đá học viện thể thao bóng đá",
+    ]
+
+
+def test_research_regions(spark):
+    q = spark.createDataFrame([(1, "hotel Thailand"), (2, "hotel Germany"), (3, "hotel Beijing"), (4, "hotel"), (5, "hotel Tokyo")], "query_id long, query string")
+    tr = spark.createDataFrame([], "concept string, lang string, terms array<string>")
+    rows = A.expand(q, *A.index(spark), tr, mode="research").orderBy("query_id", "pos").collect()
+    last = lambda n, text: [r.expanded.removeprefix(text + " ") for r in rows if r.query_id == n][4:]
+    assert last(1, "hotel Thailand") == ["Singapore", "Malaysia", "Vietnam"]
+    assert last(2, "hotel Germany") == ["France", "UK"]
+    assert (last(3, "hotel Beijing"), last(4, "hotel"), last(5, "hotel Tokyo")) == (["China mainland"], ["international global"], [])
+
+
 def test_expansion(spark):
     q = spark.createDataFrame([(1, "football academy Thailand"), (2, "milwaukee breweries"), (3, "篮球训练"), (4, "")], "query_id long, query string")
     tokens, phrases = A.index(spark)
@@ -159,6 +260,76 @@ def test_crawl_and_outputs(spark, tmp_path):
     assert {r.url for r in own.collect()} == {"https://a.example/", "https://a.example/b"}
 
 
+def urls(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "url string")
+
+
+def test_discovery(spark):
+    manual = urls(spark, " https://a.example/ ", "ftp://no.example/", "https://facebook.com/x")
+    many = [f"https://b.example/{i}" for i in range(12)]
+    none = urls(spark, "https://never.example/")
+    caps = spark.createDataFrame([("https://a.example/old", "a.example"), ("https://z.example/old", "z.example")], "url string, domain string")
+    got = discovery.seeds(manual, [urls(spark, *many), none], urls(spark, "https://c.example/"), caps, "leadgen")
+    assert [r.url for r in got.collect()] == ["https://a.example/", "https://a.example/old", *sorted(many)[:5], "https://c.example/"]
+    few = discovery.seeds(manual, [urls(spark), urls(spark, "https://s.example/")], urls(spark), caps, "research", most=2)
+    assert [r.url for r in few.collect()] == ["https://a.example/", "https://a.example/old"]
+
+
+def test_running(spark):
+    rows = [("j", f"https://a.example/{i}", i, "t", (["x@a.com", f"y{i}@a.com"], ["wx123"])) for i in range(10)] + [("k", "https://b.example/", 1, None, ([], []))]
+    pages = spark.createDataFrame(rows, "job_id string, url string, score int, title string, entities struct<emails:array<string>,wechat:array<string>>")
+    union, top = discovery.running(pages)
+    assert sorted((r.kind, r.entity) for r in union.collect()) == sorted([("emails", "x@a.com"), ("wechat", "wx123"), *(("emails", f"y{i}@a.com") for i in range(10))])
+    assert [r.score for r in top.filter("job_id = 'j'").orderBy("rank").collect()] == [9, 8, 7, 6, 5, 4, 3, 2]
+
+
+def test_jobs(spark, tmp_path):
+    run = jobs.Jobs(spark, store.Store(spark, f"file://{tmp_path}/jobs"))
+    begun = threading.Event()
+
+    def endless(session, check):
+        begun.set()
+        while True:
+            check(pages=session.range(10).count())
+
+    ids = [run.submit("leadgen", "a", lambda session, check: check(pages=int(session.range(3).count()))), run.submit("research", "b", lambda session, check: 1 / 0), run.submit("personal", "c", endless)]
+    assert begun.wait(120)
+    assert run.cancel(ids[2]) == run.cancel("unknown") == "CANCELLED"
+    for i in ids:
+        run.wait(i, 120)
+    rows = [run.detail(i) for i in ids]
+    assert [r["status"] for r in rows] == ["DONE", "FAILED", "CANCELLED"]
+    assert rows[0]["stats"] == {"pages": 3} and rows[1]["error"].startswith("ZeroDivisionError")
+    assert run.detail("unknown") is None
+
+
+def test_fetch(spark):
+    def stub(*answers):
+        left = list(answers)
+
+        def fetch(url):
+            x = left.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        return fetch
+
+    def row(*answers):
+        waits = []
+        r = fetching.patient(stub(*answers), "u", sleep=waits.append)
+        return r["status"], r["html"], r["error"], waits
+
+    ok = ("<p>", "u", 200)
+    assert row(ok) == (200, "<p>", None, [])
+    assert row(("", "u", 404)) == (404, "", None, [])
+    assert row(("", "u", 429), ("", "u", 429), ok) == (200, "<p>", None, [1, 4])
+    assert row(TimeoutError(), ValueError("x"), ("", "u", 500)) == (0, "", "status 500", [1, 4])
+    assert row(ValueError("Target closed"), ok) == (0, "", "Target closed", [])
+    got = fetching.fetch_pages(urls(spark, "a", "b"), lambda u: (f"<p>{u}", u, 200)).collect()
+    assert sorted((r.url, r.html, r.status) for r in got) == [("a", "<p>a", 200), ("b", "<p>b", 200)]
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("https://a.example/x?b=1&a=2", PAGE), ("https://a.example/x?a=2&b=1", PAGE), ("https://b.example/", PAGE)], "url string, html string").withColumn("landed_at", F.current_timestamp())
     rows.write.parquet(f"{tmp_path}/in")

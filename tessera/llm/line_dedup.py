@@ -2,14 +2,18 @@
 
 Each distinct line is parted into threshold + 1 segments. Lines within the threshold share one of them unchanged, at places
 that differ by no more than the edits allow, so an index of (length, segment number, segment) is probed with the substrings
-of every line at those places, for its own length and the shorter ones. Letter counts, which an edit changes by two at most
-in all, are compared inside the join, and the texts themselves where many lines share a key. What is left is verified with the banded bit-parallel edit distance: the column of the
-band that the threshold leaves is one small integer, and a line's characters are folded over it.
+of every line at those places, for its own length and the shorter ones. Only keys that meet go on. A line is
+near as soon as one earlier line is within the threshold, so pairs are never spelled out: each line is compared with the
+earliest lines of its keys first, and what these leave undecided looks for any other earlier line in semi-joins, in blocks
+where a key is hot. Letter counts, which an edit changes by two at most in all, are compared first; what is left is verified
+with the banded bit-parallel edit distance: the column of the band that the threshold leaves is one small integer, and a
+line's characters are folded over it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,30 +25,29 @@ COUNTED = "eaionrst"
 def segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
     """First character (from 1) and length of segment i of a line of n characters: the last ones are one longer."""
     k = tau + 1
-    base, long = F.expr("int(0)") + F.floor(n / k).cast("int"), (n % k).cast("int")
+    base, long = ((n - n % k) / k).cast("int"), n % k
     return 1 + i * base + F.greatest(F.lit(0), i - (k - long)), base + F.when(i >= k - long, 1).otherwise(0)
 
 
-def index_keys(tau: int) -> Column:
-    keys = []
-    for i in range(tau + 1):
-        start, size = segment(F.col("n"), i, tau)
-        keys.append(F.xxhash64(F.col("n"), F.lit(i), F.substring("line", start, size)))
-    return F.array(*keys)
+def piece(start: Column, size: Column) -> Column:
+    """Characters of the line from `start` (from 1): `wide` has four bytes for each, so no scan looks for them."""
+    return F.substring(F.col("wide"), 4 * start - 3, 4 * size)
 
 
-def probe_keys(tau: int, least_chars: int) -> Column:
-    """For each length down to n - tau, each segment and each shift that tau edits can give a match."""
-    keys = []
+def keys(tau: int) -> Column:
+    """Keys of a line: for each length down to n - tau, each segment and each shift that tau edits can give a match.
+
+    The first tau + 1 are those of its own segments, by which it is found. In a line of more than 2 * tau characters all
+    these places lie inside; that spares conditions, which would make the generated code too long to be compiled.
+    """
+    own, other = [], []
     for short in range(tau + 1):
         length = F.col("n") - short
         for i in range(tau + 1):
             start, size = segment(length, i, tau)
             for shift in range(max(-i, short - (tau - i)), min(i, short + (tau - i)) + 1):
-                at = start + shift
-                fits = (length >= least_chars) & (at >= 1) & (at + size - 1 <= F.col("n"))
-                keys.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substring("line", at, size))))
-    return F.array_compact(F.array(*keys))
+                (other if short or shift else own).append(F.xxhash64(length, F.lit(i), piece(start + shift, size)))
+    return F.array(*own, *other)
 
 
 def letters_of(line: str) -> Column:
@@ -131,71 +134,87 @@ def distance(u: Column, v: Column, tau: int, steps: int = 20) -> Column:
     return let(let(let(pair(u, v), behind), within), lambda p: banded_distance(p["u"], p["v"], tau))
 
 
-def verified(pairs: DataFrame, tau: int) -> DataFrame:
-    """Of rows with lines x and y those within the edit distance."""
-    ordered = F.when(F.length("x") >= F.length("y"), distance(F.col("x"), F.col("y"), tau)).otherwise(distance(F.col("y"), F.col("x"), tau))
-    return pairs.filter((F.abs(F.length("x") - F.length("y")) <= tau) & (ordered <= tau))
+def alike(x: Column, y: Column, tau: int) -> Column:
+    """Whether two lines are within tau edits."""
+    ordered = F.when(F.length(x) >= F.length(y), distance(x, y, tau)).otherwise(distance(y, x, tau))
+    return (F.abs(F.length(x) - F.length(y)) <= tau) & (ordered <= tau)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, line, r1, r2 of the lines that are not blank."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    return lines.select("id", "pos", "line", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2"))
 
 
-def texts_of(lines: DataFrame, ids: DataFrame, id_limit: int) -> DataFrame:
-    """r and line of the distinct lines with these hashes. ids are broadcast only below a checked count."""
-    few = ids.count() <= id_limit
-    return lines.select(F.xxhash64("line").alias("r"), "line").join(F.broadcast(ids) if few else ids, "r", "left_semi").distinct()
+def near_by_leaders(members: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """r of the lines that are near the earliest line that one of their keys brings them together with, if it is earlier.
 
+    Of each key two lines lead, the earliest of its entries and the earliest of all; so no more pairs are made than members.
+    """
+    order = F.struct("f", "r")
+    leaders = members.groupBy("key").agg(F.min(F.when(F.col("entry"), order)).alias("e"), F.min(order).alias("p"))
+    met = members.join(leaders, "key").withColumn("lead", F.when(F.col("entry"), F.col("p")).otherwise(F.col("e")))
+    pairs = met.filter("lead.f < f").select("r", F.col("lead.r").alias("lead")).distinct()
+    mine, theirs = texts.select("r", F.col("line").alias("x"), F.col("c").alias("cx")), texts.select(F.col("r").alias("lead"), F.col("line").alias("y"), F.col("c").alias("cy"))
+    close = letters_apart(F.col("cx"), F.col("cy")) <= 2 * tau
+    return pairs.join(mine, "r").join(theirs, "lead").filter(close & alike(F.col("x"), F.col("y"), tau)).select("r").distinct()
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least_chars: int = 20, hot: int = 100, id_limit: int = 1_000_000) -> DataFrame:
+
+def near_by_search(members: DataFrame, near: DataFrame, texts: DataFrame, tau: int, hot: int) -> DataFrame:
+    """r of those not in near that have any earlier line within tau edits by one of their keys.
+
+    A semi-join by letter counts alone comes first, so that only lines that may be near bring their text. The lines that
+    look for another are dealt to blocks of about `hot` in each key, and the lines that are looked up go to each block.
+    """
+    seen = texts.select("r", "c")
+    late = stored(members.join(near, "r", "left_anti").join(seen, "r"), "line-late")
+    sizes = late.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / hot).alias("blocks"))
+    late = late.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("r"), F.col("blocks"))).drop("blocks")
+    early = members.join(seen, "r").join(sizes, "key")
+    early = early.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    one, two = late.alias("l"), early.alias("e")
+    same = (F.col("l.key") == F.col("e.key")) & (F.col("l.block") == F.col("e.block")) & (F.col("l.entry") | F.col("e.entry")) & (F.col("e.f") < F.col("l.f"))
+    by_letters = letters_apart(F.col("l.c"), F.col("e.c")) <= 2 * tau
+    may = stored(one.join(two, same & by_letters, "left_semi"), "line-may")
+    lines = texts.select("r", "line")
+    one, two = may.join(lines, "r").alias("l"), early.join(may.select("key", "block").distinct(), ["key", "block"], "left_semi").join(lines, "r").alias("e")
+    return one.join(two, same & by_letters & alike(F.col("l.line"), F.col("e.line"), tau), "left_semi").select("r").distinct()
+
+
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least_chars: int = 20, hot: int = 2000, id_limit: int = 1_000_000) -> DataFrame:
     """One row per line that is not blank: id, pos (from 0), first (the line's first appearance), near (an earlier line is
     within tau edits), kept (first and not near).
 
     Lines are parted at line feeds and trimmed of spaces. Order is by (id, pos). Two lines are near if both have least_chars
-    characters or more and their edit distance is at most tau; shorter lines are only compared for equality. Each distinct
-    line enters the join once. Lines that share a key with more than `hot` others bring their text to the join, where the
-    pairs beyond tau edits end; so a large family of lines that are alike, but not near, leaves no pair behind.
+    characters or more (2 * tau + 1 at least) and their edit distance is at most tau: least_chars is part of what near means, since a few edits
+    make any short line of any other; those are compared for equality. Lines are told apart by 128 bits of hashes. Each
+    distinct line enters the join once. `hot` is the size of a block of lines that share a key, and decides nothing.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    names = lines.select("id", "pos", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2"))
-    distinct = lines.groupBy("line").agg(F.min(F.struct("id", "pos")).alias("f"))
-    distinct = distinct.withColumn("n", F.length("line"))
-    long = F.col("n") >= least_chars
-    table = distinct.select(
-        F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2"), F.col("f.id").alias("fid"), F.col("f.pos").alias("fpos"),
-        F.when(long, letters_of("line")).alias("c"), F.when(long, index_keys(tau)).alias("ik"), F.when(long, probe_keys(tau, least_chars)).alias("pk"),
-    )
-    table = stored(table, "line-keys")
-    entries = table.select(F.explode("ik").alias("key"), F.col("r1").alias("a"), F.col("c").alias("ca"))
-    probes = table.select(F.explode("pk").alias("key"), F.col("r1").alias("b"), F.col("c").alias("cb"))
-    often = stored(entries.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot-keys")
-    many = often.count()
-    close = (entries["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau)
-    if many:
-        side = F.broadcast(often) if many <= id_limit else often  # broadcast only below a checked count
-        e, p = entries.join(side, "key", "left_semi"), probes.join(side, "key", "left_semi")
-        hot_ids = stored(e.select(F.col("a").alias("r")).union(p.select("b")).distinct(), "hot-lines")
-        texts = stored(texts_of(lines, hot_ids, id_limit), "hot-texts")
-        e = e.join(texts.select(F.col("r").alias("a"), F.col("line").alias("x")), "a")
-        p = p.join(texts.select(F.col("r").alias("b"), F.col("line").alias("y")), "b").withColumnRenamed("key", "probe")
-        entries, probes = entries.join(side, "key", "left_anti"), probes.join(side, "key", "left_anti")
-        close = (entries["key"] == probes["key"]) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau)
-        near_too = (F.col("key") == F.col("probe")) & (F.col("a") != F.col("b")) & (letters_apart(F.col("ca"), F.col("cb")) <= 2 * tau) & (F.levenshtein("x", "y", tau) >= 0)
-        ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = ordered(entries.join(probes, close)).union(ordered(e.join(p, near_too))).distinct()
+    lines = lines_of(docs, id_col, text_col)
+    distinct = lines.groupBy("r1", "r2").agg(F.min(F.struct("id", "pos")).alias("f"), F.min("line").alias("line"))
+    distinct = distinct.withColumn("wide", F.encode("line", "UTF-32")).withColumn("n", (F.length("wide") / 4).cast("int"))
+    table = stored(distinct.select("r1", "r2", "f", (F.col("n") >= max(least_chars, 2 * tau + 1)).alias("long"), keys(tau).alias("keys")), "line-keys")
+    rows = table.filter("long").select(F.col("r1").alias("r"), F.posexplode("keys").alias("k", "key")).select("key", "r", (F.col("k") <= tau).alias("entry"))
+    of_key, of_entry = W.partitionBy("key"), F.when(F.col("entry"), F.col("r"))
+    ends = {"lo": F.min("r").over(of_key), "hi": F.max("r").over(of_key), "entry_lo": F.min(of_entry).over(of_key), "entry_hi": F.max(of_entry).over(of_key)}
+    meets = F.when(F.col("entry"), (F.col("lo") != F.col("r")) | (F.col("hi") != F.col("r"))).otherwise((F.col("entry_lo") != F.col("r")) | (F.col("entry_hi") != F.col("r")))
+    members = stored(rows.withColumns(ends).filter(meets).select("key", "r", "entry"), "line-members")
+    ids = stored(members.select("r").distinct(), "line-ids")
+    some = ids.count()
+    if some:
+        side = F.broadcast(ids) if some <= id_limit else ids  # broadcast only below a checked count
+        texts = lines.select(F.col("r1").alias("r"), "r2", "line").join(side, "r", "left_semi").distinct()
+        texts = texts.join(table.select(F.col("r1").alias("r"), "r2", "f"), ["r", "r2"]).withColumn("c", letters_of("line"))
+        texts = stored(texts, "line-texts")
+        members = stored(members.join(texts.select("r", "f"), "r"), "line-ordered")
+        near = stored(near_by_leaders(members, texts, tau), "line-near")
+        near = stored(near.unionByName(near_by_search(members, near, texts, tau, hot)), "line-near-all")
+        late = near.join(texts.select("r", "r2"), "r").select(F.col("r").alias("r1"), "r2", F.lit(True).alias("near"))
+        verdicts = table.select("r1", "r2", "f").join(late, ["r1", "r2"], "left")
     else:
-        found = entries.join(probes, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = stored(found, "line-pairs")
-    ids = stored(found.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "pair-lines")
-    texts = texts_of(lines, ids, id_limit)
-    texts = stored(texts, "pair-texts")
-    pairs = found.join(texts.select(F.col("r").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("r").alias("b"), F.col("line").alias("y")), "b").select("x", "y")
-    firsts = table.select("r1", "r2", F.struct("fid", "fpos").alias("f"))
-    near = verified(pairs.filter("x <> y"), tau).select(F.xxhash64("x").alias("x1"), F.xxhash64(F.lit(1), "x").alias("x2"), F.xxhash64("y").alias("y1"), F.xxhash64(F.lit(1), "y").alias("y2"))
-    near = stored(near, "near-lines")
-    f = lambda p: firsts.select(F.col("r1").alias(f"{p}1"), F.col("r2").alias(f"{p}2"), F.col("f").alias(f"f{p}"))
-    later = near.join(f("x"), ["x1", "x2"]).join(f("y"), ["y1", "y2"])
-    swap = F.col("fx") > F.col("fy")
-    late = later.select(F.when(swap, F.col("x1")).otherwise(F.col("y1")).alias("r1"), F.when(swap, F.col("x2")).otherwise(F.col("y2")).alias("r2")).distinct().withColumn("near", F.lit(True))
-    verdicts = table.select("r1", "r2", "fid", "fpos").join(late, ["r1", "r2"], "left")
-    out = names.join(verdicts, ["r1", "r2"])
-    first = F.col("id").eqNullSafe(F.col("fid")) & (F.col("pos") == F.col("fpos"))
+        verdicts = table.select("r1", "r2", "f", F.lit(False).alias("near"))
+    out = lines.select("id", "pos", "r1", "r2").join(verdicts, ["r1", "r2"])
+    first = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("pos") == F.col("f.pos"))
     return out.select("id", "pos", first.alias("first"), F.coalesce("near", F.lit(False)).alias("near")).withColumn("kept", F.col("first") & ~F.col("near"))
 
 

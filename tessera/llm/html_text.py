@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "optgroup": {"select"}}
 RAW = re.compile(r"script|style|textarea|title|xmp|iframe|noembed|noframes", re.I)
 #: Elements, roles and words of classes and ids that name what is no article.
-NOISE_TAGS = frozenset("aside button canvas dialog embed fieldset footer form frameset head iframe input math menu nav noframes noscript object script search select style svg template textarea title".split())
+NOISE_TAGS = frozenset("aside button canvas dialog embed fieldset footer form frameset head iframe input menu nav noframes noscript object script search select style svg template textarea title".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search searchbox toolbar".split())
+#: A class or id token names noise if all its words are noise words or these, which say nothing by themselves.
+GENERIC_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container content desktop entry fixed form global group holder icon icons inner item items left link links list main "
+    "message mobile module outer page panel post posts primary right row secondary section site slot stories story sub sticky text top unit view wrap wrapper zone".split()
+)
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement advertising advertorial adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
@@ -45,11 +51,16 @@ NOISE_WORDS = frozenset(
 REGION_WORDS = frozenset("article body content entry main post story text".split())
 
 
+#: Markup that hides what it holds.
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+WORD, HUMP = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
 class Block:
-    __slots__ = ("regions", "text")
+    __slots__ = ("muted", "regions", "text")
 
-    def __init__(self, text: str, regions: tuple[int, ...]):
-        self.text, self.regions = text, regions
+    def __init__(self, text: str, regions: tuple[int, ...], muted: bool):
+        self.text, self.regions, self.muted = text, regions, muted
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -59,56 +70,78 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def noisy(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+def noisy(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """2: noise by element, role or style; 1: by the name that its class or id gives it, or a header; 0: none.
+
+    A name is a whole token: sidebar and sidebar-left are noise, no-sidebar and social-science are not.
+    """
+    if tag in NOISE_TAGS:
+        return 2
     if tag == "header" and not in_article:
-        return True
+        return 1
+    if not attrs:
+        return 0
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return 2
     if tag in ("html", "body", "main") or (tag == "article" and not in_article):
-        return False
-    if attrs.get("role", "").lower() in NOISE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-    return bool(words & (NOISE_WORDS - {"header"} if in_article else NOISE_WORDS))
+        return 0
+    if attrs.get("role", "").lower() in NOISE_ROLES or HIDING.search(attrs.get("style", "")):
+        return 2
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = set(WORD.findall(HUMP.sub("-", token).lower()))
+        found = words & NOISE_WORDS - ({"header"} if in_article else set())
+        if found and words <= found | GENERIC_WORDS:
+            return 1
+    return 0
 
 
 def region_kind(tag: str, attrs: dict[str, str]) -> int:
     """2: an article by its element; 1: the main part by element, role or name; 0: neither."""
-    if tag == "article" or attrs.get("role", "").lower() == "article" or attrs.get("itemprop") == "articleBody":
+    if tag == "article" or (attrs and (attrs.get("role", "").lower() == "article" or attrs.get("itemprop") == "articleBody")):
         return 2
-    if tag == "main" or attrs.get("role", "").lower() == "main":
+    if tag == "main" or (attrs and attrs.get("role", "").lower() == "main"):
         return 1
-    if tag in ("div", "section", "td") and set(re.findall(r"[a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) & REGION_WORDS:
+    if attrs and tag in ("div", "section", "td") and set(WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) & REGION_WORDS:
         return 1
     return 0
 
 
 def parse(page: str) -> tuple[list[Block], list[int]]:
-    """Blocks of visible text that is no noise by its markup, each with the regions it lies in; the kind of each region."""
+    """Blocks of visible text that is no noise by its markup, each with the regions it lies in; the kind of each region.
+
+    An article or main element in an element that only its name calls noise is kept apart: it counts where it holds more
+    text than all that stands outside such elements.
+    """
     blocks: list[Block] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether it begins noise, its region or -1
-    noise, regions, run = 0, [], []
-    articles = 0
+    stack: list[tuple[str, int, int, int]] = []  # element, its kind of noise, its region or -1, the named noise that it sets aside
+    open_: dict[str, int] = {}
+    regions, run = [], []
+    hard = soft = articles = muted = 0
 
     def flush():
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            blocks.append(Block(text, tuple(regions)))
+            blocks.append(Block(text, tuple(regions), muted > 0))
 
     def pop():
-        nonlocal noise, articles
-        tag, was_noise, region = stack.pop()
-        noise -= was_noise
+        nonlocal hard, soft, articles, muted
+        tag, noise, region, aside = stack.pop()
+        open_[tag] -= 1
+        hard -= noise == 2
+        soft -= noise == 1
+        if aside:
+            soft += aside
+            muted -= 1
         if region >= 0:
             regions.pop()
-            articles -= kinds[region] == 2
+            articles -= kinds[region] == 2 or tag == "main"
 
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
-        if not noise and (m is None or m.start() > at):
+        if not (hard or soft) and (m is None or m.start() > at):
             run.append(html.unescape(page[at : m.start() if m else end]))
         if m is None:
             break
@@ -117,16 +150,17 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             continue
         tag = m[2].lower()
         if tag in BLOCK:
-            flush()
+            if run:
+                flush()
         elif tag == "br":
             run.append(" ")
         if m[1]:
-            if any(x[0] == tag for x in stack):
+            if open_.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and open_.get("p"):
             # a block ends an open paragraph, as far as no other block lies between
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -135,7 +169,7 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_.get(x) for x in CLOSES[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in STOPS[tag]:
                     break
@@ -146,27 +180,42 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
         if tag in VOID:
             continue
         if RAW.fullmatch(tag):
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            close = raw_end(tag).search(page, at)
             at = close.end() if close else end
             continue
         if tag == "plaintext":
             at = end
             continue
-        attrs = attributes(m[3]) if m[3].strip(" /") else {}
-        is_noise = noisy(tag, attrs, articles > 0)
-        kind = 0 if noise or is_noise else region_kind(tag, attrs)
-        region = -1
+        attrs = attributes(m[3]) if len(m[3]) > 2 else {}
+        noise = noisy(tag, attrs, articles > 0)
+        kind = 0 if hard or noise else region_kind(tag, attrs)
+        region, aside = -1, 0
+        if soft and (kind == 2 or (kind and tag == "main")):
+            aside, soft = soft, 0
+            muted += 1
+        elif soft:
+            kind = 0
         if kind:
             region = len(kinds)
             kinds.append(kind)
             regions.append(region)
-            articles += kind == 2
-        noise += is_noise
-        stack.append((tag, is_noise, region))
+            articles += kind == 2 or tag == "main"
+        hard += noise == 2
+        soft += noise == 1
+        open_[tag] = open_.get(tag, 0) + 1
+        stack.append((tag, noise, region, aside))
     flush()
+    apart = sum(len(b.text) for b in blocks if b.muted)
+    if apart and apart <= sum(len(b.text) for b in blocks if not b.muted):
+        blocks = [b for b in blocks if not b.muted]
     return blocks, kinds
 
 
+@lru_cache(maxsize=16)
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
 def suffixes(pages: list[list[str]], least_run: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined stream, each token's page, the starts of all whole runs of least_run tokens with equal runs together and by page within, and which of these begin a run.
 

@@ -97,7 +97,7 @@ def test_decontaminate(spark, docs):
                     found |= o
         want.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8_000_000, 60):  # one block, and many
+    for block in (8_000_000, 250):  # one block, and several
         got = decontaminate.decontaminate(df, table, block_bytes=block, chunk_chars=3000).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, empty(table)).collect())
@@ -180,6 +180,34 @@ def test_bit_sliced_filter_has_no_false_negatives():
     assert all(int(have[n]) >> (n % 3) & 1 for n in range(500))
 
 
+def test_votes_by_brute_force():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(80)] + ["", "1 2", "A"]
+
+    def ngrams(t):
+        flat = "\0" + re.sub("[^a-zé]+", "\0", t.lower()).strip("\0") + "\0"
+        return [g for n in (1, 2, 3) for k in range(len(flat) - n + 1) for g in [flat[k : k + n]] if "\0" not in g[1:-1] and g.strip("\0")]
+
+    languages, m = ["aa", "bb", "cc"], 1 << 16
+    have = {lang: set(rng.sample(sorted({g for t in texts for g in ngrams(t)}), 150)) for lang in languages}
+    have["cc"] = set(have["bb"])  # equal votes: the first by name
+    masks = defaultdict(int)
+    for n, lang in enumerate(languages):
+        for g in have[lang]:
+            key = 0
+            for c in g:
+                key = key << 21 | (0 if c == "\0" else ord(c))
+            for slot in language_id.slots(np.array([key]), len(g), 3, m):
+                masks[int(slot[0])] |= 1 << n
+    model = language_id.Filter(languages, (1, 2, 3), 3, m, [(0, s, b) for s, b in masks.items()])
+    pred, score = model.decide(texts)
+    for t, p, x in zip(texts, pred, score.tolist(), strict=True):
+        votes = [sum(g in have[lang] for g in ngrams(t)) for lang in languages]
+        assert p == (languages[votes.index(max(votes))] if any(c.isalpha() for c in t) else "und"), (t, votes)
+        assert x == pytest.approx(max(votes) / sum(votes) if sum(votes) else 0, abs=0.01)
+
+
 def kn(counts, w, context, known):
     """Interpolated modified Kneser-Ney by its definition, over all n-grams of five characters."""
     n = len(context) + 1
@@ -236,6 +264,70 @@ def test_quality(spark, docs):
     assert kneser_ney.quality(empty(df), labels).count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, sentences(rng, rng.randint(5, 40)), ("en", "fr")[i % 2]) for i in range(90)] + [(90, None, "en"), (91, "qqq zzz xxx " * 20, "en"), (92, "long " * 40_000, "fr"), (93, "x", "de")]
+    rows += [(94 + k, rows[k][1], rows[k][2]) for k in range(20)]  # equal perplexities
+    marks = [(i, int(i % 5 > 0)) for i in range(0, 112)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.quality(df, labels, held_back=3, quantile=0.8).collect()}
+    unseen = {r.id for r in spark.createDataFrame([(r[0],) for r in rows], "id long").filter("pmod(xxhash64(id), 3) = 0").collect()}
+    good = {i for i, x in marks if x}
+    size = {i: len(" ".join((t or "").lower().split())) + 1 for i, t, _ in rows}
+    for lang in ("en", "fr"):
+        values = sorted(got[i].perplexity for i, _, x in rows if x == lang and i in good & unseen)
+        limit = values[int(np.ceil(0.8 * len(values))) - 1]
+        for i, _, x in rows:
+            if x == lang:
+                assert got[i].threshold == pytest.approx(limit)
+                assert got[i].kept == (np.log(got[i].perplexity) - 3 / np.sqrt(size[i]) <= np.log(limit) + 1e-12)
+                assert got[i].trusted == (i in good)
+    assert not got[91].kept and got[93].kept and got[93].threshold is None
+
+
+def test_licences_planted(spark):
+    """Texts put together from the catalogue's sentences and other sentences, in several wrappings; the rules by brute force."""
+    known, rules = licences.standard_catalogue()
+    forms = {}
+    for name, v in known.items():
+        for x in v:
+            forms.setdefault(licences.normalised(x), (name, x))
+    usable = [(n, x) for w, (n, x) in forms.items() if not any(o != w and o.startswith(w + " ") for o in forms)]
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(150):
+        planted = [rng.choice(usable) if rng.random() < 0.6 else (None, sentences(rng, rng.randint(2, 9)).capitalize() + ".") for _ in range(rng.randint(0, 6))]
+        text = "\n\n".join(textwrap.fill(x, rng.choice([30, 72, 10_000]), break_long_words=False, break_on_hyphens=False) for _, x in planted)
+        if rng.random() < 0.5:
+            text = "\n".join(" * " + line for line in text.split("\n"))
+        names = [n for n, _ in planted if n]
+        used, found = [False] * len(names), []
+        for licence, score, run in rules:
+            for k in range(len(names) - len(run) + 1):
+                if names[k : k + len(run)] == run and not any(used[k : k + len(run)]):
+                    used[k : k + len(run)] = [True] * len(run)
+                    found.append((k, licence, score))
+        found.sort()
+        want[i] = (" ".join(names), ",".join(dict.fromkeys(x[1] for x in found)), max((x[2] for x in found), default=0))
+        rows.append((i, text))
+    assert len(usable) > 900 and len({x[1] for x in want.values()}) > 60
+    df = spark.createDataFrame([*rows, (900, None), (901, "word " * 200_000)], "doc_id long, text string")
+    sentence_table, rule_table = licences.catalogue_tables(spark)
+    for book in ({}, dict(zip(("known", "rules"), licences.read_catalogue(sentence_table, rule_table), strict=True))):
+        got = {r.doc_id: (r.sequence, r.licences, r.best_score) for r in licences.scan_licences(df, **book).collect()}
+        assert got == want | {900: ("", "", 0), 901: ("", "", 0)}
+
+
+@pytest.mark.parametrize(("text", "licence"), [
+    ("Mozilla Public License 2.0", "MPL-2.0"), ("BSD 3-Clause", "BSD-3-Clause"), ("SPDX: ISC", "ISC"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+])
+def test_licence_catalogue(text, licence):
+    book = licences.Catalogue(*licences.standard_catalogue())
+    assert [m[0] for m in book.match(book.tagged(licences.sentences(text)))] == [licence]
+
+
 def test_licences(spark, docs):
     head = '/* Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n\n http'
     rows = [(1, head), (2, "x. Released under the MIT License.\nAll rights reserved."), (3, None), (4, ""), (5, "LICENSED UNDER THE APACHE LICENSE  version 2.0."), (5, "a mit license")]
@@ -386,6 +478,59 @@ def test_html_covers_over_whole_hosts(spark, chunk, limit):
     assert got == {i: own for i, _, _, own in rows}
 
 
+@pytest.mark.parametrize("body", [
+    '<div class="content has-sidebar"><article><p>A real text</p></article></div>', '<div class="no-sidebar"><article>A real text</article></div>', '<div class="entry header-image"><article>A real text</article></div>',
+    '<article><div class="social-science">A real</div><section id="login-help">text</section></article>', '<div class="sidebarless banner-free"><main>A <math>real</math> text</main></div>',
+    '<div class="sidebar"><article>A real text</article></div>', '<main><header><h1>A</h1></header>real text</main><header>Site</header>',
+])
+def test_html_names_are_whole_tokens(body):
+    assert html_text.extract([page(body)], 8, 0.1)[0].split() == ["A", "real", "text"]
+
+
+@pytest.mark.parametrize("noise", ["sidebar-left", "siteFooter", "cookie-banner", "comments-area", "related-posts", "nav_menu", "social-links", "ad", "newsletter-signup-box", "post-comments"])
+def test_html_noise_names(noise):
+    for tag in ("class", "id"):
+        assert html_text.extract([page(f"<article><p>The long real text of this page</p><div {tag}='{noise}'><article>card</article> gone</div></article>")], 8, 0.1) == ["The long real text of this page"]
+
+
+def test_html_deep_and_stray_tags():
+    deep = "<div>" * 20_000 + "text" + "</p></li></article>" * 20_000
+    assert html_text.extract([deep], 8, 0.1) == ["text"]
+
+
+def test_main_text_by_brute_force(spark):
+    """Pages without markup that names anything: the runs of whole hosts alone decide."""
+    rng = random.Random(8)
+    pool = [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(3, 14))) for _ in range(6)]
+    blocks = {i: [rng.choice(pool) if rng.random() < 0.5 else " ".join(rng.choices([f"w{k}" for k in range(30)] + [f"own{i}"] * 30, k=rng.randint(1, 12))) for _ in range(rng.randint(0, 6))] for i in range(60)}
+    rows = [(i, f"http://host{i % 3}.example/{i}", "".join(f"<p>{b}</p>" for b in x)) for i, x in blocks.items()]
+    run, least = 5, 3
+    where = defaultdict(set)
+    tokens = {i: " ".join(x).split() for i, x in blocks.items()}
+    for i, t in tokens.items():
+        for k in range(len(t) - run + 1):
+            where[i % 3, tuple(t[k : k + run])].add(i)
+    want, decided = {}, 0
+    for i, x in blocks.items():
+        t, hit = tokens[i], set()
+        for k in range(len(t) - run + 1):
+            if len(where[i % 3, tuple(t[k : k + run])]) >= least:
+                hit |= set(range(k, k + run))
+        some, at = [], 0
+        for b in x:
+            n = len(b.split())
+            if 2 * sum(k not in hit for k in range(at, at + n)) >= n:
+                some.append(b)
+            at += n
+        decided += bool(some) and some != x
+        want[i] = "\n".join(some or x)
+    assert decided > 10
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts, chunk in ((1, 1000), (4, 3)):
+        got = html_text.main_text(df.repartition(parts), least_run=run, least_pages=least, range_pages=chunk)
+        assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_covered_by_brute_force():
     rng = random.Random(4)
     for _ in range(30):
@@ -428,3 +573,16 @@ def test_pipeline(spark, sf_small):
         seen = out
     last = {r.doc_id: r.n_tokens for r in C.run(spark, sf_small).collect()}
     assert set(last) == {r.doc_id for r in seen.collect()}
+
+
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op7_decontamination", "op9_warc", "op10_minhash_dedup"])
+def test_query_matches_sql(spark, sf_small, name):
+    import duckdb
+    from tessera.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_small}/{t}.parquet'")
+    rel = con.sql(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, sf_small).select(*rel.columns)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rel.fetchall()))

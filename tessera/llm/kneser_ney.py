@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, stored
+from .common import scratch, ship, slices, stored
 
 BEGIN, END, ORDER = 0, 1, 5
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -63,9 +63,7 @@ def counted(trusted: DataFrame, chunk_chars: int) -> DataFrame:
     names = [f"c{j + 1}" for j in range(ORDER)]
 
     def run(batches):
-        held, size = {}, 0
-
-        def flush():
+        def flush(held):
             for lang, texts in held.items():
                 c, bounds = symbols(texts)
                 last = windows(c, bounds)
@@ -73,14 +71,11 @@ def counted(trusted: DataFrame, chunk_chars: int) -> DataFrame:
                 cols = [pa.array(c[last[at] - (ORDER - 1 - j)].astype(np.int32)) for j in range(ORDER)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *cols, pa.array(n.astype(np.int64))], ["lang", *names, "n"])
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in slices(batches, chunk_chars):
+            held: dict[str, list[str]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= chunk_chars:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+            yield from flush(held)
 
     rows = trusted.select("lang", "t").mapInArrow(run, "lang string, " + ", ".join(f"{x} int" for x in names) + ", n bigint")
     return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
@@ -201,9 +196,7 @@ def perplexity(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str
     arrow_id = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches):
-        held, size = [], 0
-
-        def flush():
+        def flush(held):
             by: dict[str | None, list[int]] = {}
             for k, (_, lang, _) in enumerate(held):
                 by.setdefault(lang, []).append(k)
@@ -215,15 +208,8 @@ def perplexity(docs: DataFrame, model, id_col: str, text_col: str, lang_col: str
                         out[k], scored[k] = x, m
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], arrow_id), pa.array([h[1] for h in held], pa.string()), pa.array(out, pa.float64()), pa.array(scored, pa.int64())], [id_col, "lang", "perplexity", "scored"])
 
-        for batch in batches:
-            for i, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.append((i, lang, text or ""))
-                size += len(text or "")
-                if size >= chunk_chars:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+        for part in slices(batches, chunk_chars, (2,)):
+            yield flush([(i, lang, text or "") for i, lang, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang string, perplexity double, scored bigint")

@@ -83,17 +83,18 @@ def verdicts(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) ->
     return slim.join(groups, ["d", "n"]).filter("id <> response").select("id", "d", "response").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, file_bytes: int = 256_000_000, level: int = 3) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, file_bytes: int = 256_000_000, level: int = 3, id_limit: int = 300_000) -> DataFrame:
     """Writes a record for each row; returns key, id, file, start and length of each, stored.
 
     Of rows with equal payloads of at least least_bytes the largest id is a response and the others are revisits of it;
     smaller payloads are all responses. Null html is an empty payload, a null URL an empty target. Rows with a null id are
-    responses. Rows repeated with the same id and payload are written each and share the role.
+    responses. Rows repeated with the same id and payload are written each and share the role. Below id_limit revisits their
+    list is broadcast and no html is shuffled; beyond it the join shuffles.
     """
     ship(pages.sparkSession)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("d", F.sha1("html"))
-    rows = base.join(verdicts(pages, id_col, html_col, least_bytes), ["id", "d"], "left")
-    arrow_id = None
+    again = stored(verdicts(pages, id_col, html_col, least_bytes), "revisits")
+    rows = base.join(F.broadcast(again) if again.count() <= id_limit else again, ["id", "d"], "left")
 
     def run(batches):
         fs, root = filesystem(folder)

@@ -46,8 +46,10 @@ def locations(text: Column) -> Column:
 
 
 def organizations(text: Column) -> Column:
-    """A match for each suffix by itself: matches of different suffixes may overlap."""
-    each = [F.regexp_extract_all(text, F.lit(rf"{K.ORG_HEAD}\Q{s}\E"), F.lit(0)) for s in K.ORG_SUFFIXES]
+    """A match for each suffix by itself: matches of different suffixes may overlap. Only suffixes that the text holds are
+    searched with their pattern."""
+    none = F.array().cast("array<string>")
+    each = [F.when(F.contains(text, F.lit(s)), F.regexp_extract_all(text, F.lit(rf"{K.ORG_HEAD}\Q{s}\E"), F.lit(0))).when(text.isNotNull(), none) for s in K.ORG_SUFFIXES]
     return F.slice(F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*each)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))), 1, K.CAPS["organizations"])
 
 

@@ -408,6 +408,19 @@ def test_line_dedup(spark, docs, tau, hot):
         assert line_dedup.line_dedup(empty(odd)).count() == 0
 
 
+def test_line_dedup_long_lines_and_families(spark):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=200_000)).strip() + "!"
+    other = long[:90_000] + "X" + long[90_001:]
+    family = [f"invoice number {k:03d} of the very same customer" for k in range(300)]  # most are near an earlier one
+    far = ["".join(random.Random(k).choices("klmnop", k=15)) + " the shared tail of all these lines that are not near" for k in range(100)]
+    lines = [long, other, *family, *far]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    near = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and (edits(x, y) if len(x) < 1000 else sum(a != b for a, b in zip(x, y, strict=True))) <= 2 for y in lines[:i])}
+    assert 1 in near and len(near) > 200 and not near & set(range(302, 402))
+    got = line_dedup.line_dedup(df, hot=50).collect()
+    assert {r.doc_id for r in got if r.n_near} == near
+
+
 def test_warc(spark):
     page = "<html>é漢</html>\r\n\r\nx"
     rows = [(i, f"http://u@H{i % 3}.Example.org:8080/p/{i}?q={i}#f", page if i % 4 == 0 else f"<p>{i}</p>") for i in range(60)]

@@ -288,6 +288,17 @@ def fingerprints(spark, d):
 FINGERPRINTS = "SELECT * FROM (VALUES ('a', 'Nginx', NULL, 'Cloudflare', NULL, 'x-frame-options', 1), ('b', 'Foo', NULL, NULL, NULL, '', 1), ('c', 'Apache', NULL, 'Varnish', 'PHP', '', 3), ('d', NULL, 'Drupal', 'AWS CloudFront', NULL, '', 3), ('e', NULL, NULL, NULL, 'Node.js', 'content-security-policy', 1)) t(site, server, cms, cdn, server_language, security, n_headers)"
 
 
+#: What describes a site, by patterns: icon and logo by their elements, the links of the first navigation, colours of styles.
+SITE_SQL = rf"""
+SELECT page_id, {ROOT} || coalesce(nullif(regexp_extract(html, '(?i)<link[^>]+rel="icon"[^>]+href="(/[^"]+)"', 1), ''), '/favicon.ico') AS favicon,
+ {ROOT} || nullif(regexp_extract(html, '(?i)<img[^>]+src="(/[^"]*logo[^"]*)"', 1), '') AS logo,
+ least(20, len(list_distinct(regexp_extract_all(regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), '(?is)<a\s[^>]*href="([^"]+)"[^>]*>[^<]+</a>', 1)))) AS n_navigation,
+ len(list_distinct(regexp_extract_all(regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1), '#[0-9a-fA-F]{{6}}\b'))) AS n_colors,
+ regexp_extract(html, '(?s)application/ld\+json.*?"@type"\s*:\s*"([^"]+)"', 1) AS schema_types, least(10, coalesce(k, 0)) AS n_contact
+FROM pages LEFT JOIN c ON from_url = url
+"""
+
+
 def colour_counts(spark, d):
     hexes = F.transform(F.regexp_extract_all("html", F.lit("#([0-9a-fA-F]{6}|[0-9a-fA-F]{3})\\b"), F.lit(1)), lambda h: F.upper(F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)))
     return pages(spark, d).select(F.explode(hexes).alias("color")).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
@@ -397,7 +408,7 @@ def table():
     )
     parse = lambda s, d: H.parsed(pages(s, d))
     one["parsed_records"] = (lambda s, d: parse(s, d).select("page_id", "title", "word_count", F.size("graph_links").alias("n_links"), F.element_at("metadata", F.lit("lang")).alias("lang"), F.size("headings").alias("n_headings"), F.col("error").isNull().alias("ok")), cte(m=M, e=EDGES, n="SELECT from_url, count(*) AS n_links FROM e GROUP BY 1") + f"SELECT page_id, title, len({words_sql('main_text')}) AS word_count, coalesce(n_links, 0) AS n_links, nullif(regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1), '') AS lang, least(30, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'))) AS n_headings, true AS ok FROM m LEFT JOIN n ON from_url = url")
-    one["site_profile"] = (lambda s, d: parse(s, d).select("page_id", "favicon", "logo", F.size("navigation").alias("n_navigation"), F.size("colors").alias("n_colors"), F.array_join("schema_types", ",").alias("schema_types"), F.size("contact_links").alias("n_contact")), None)
+    one["site_profile"] = (lambda s, d: parse(s, d).select("page_id", "favicon", "logo", F.size("navigation").alias("n_navigation"), F.size("colors").alias("n_colors"), F.array_join("schema_types", ",").alias("schema_types"), F.size("contact_links").alias("n_contact")), cte(e=EDGES, c=f"SELECT from_url, count(DISTINCT to_url) AS k FROM e WHERE {words} GROUP BY 1") + SITE_SQL)
     turns = lambda s, d: conv(s, d).select(F.struct("job_id", F.col("pos").alias("turn")).alias("k"), "query")
     one["query_expansions"] = (lambda s, d: A.expand(turns(s, d), *A.index(s), s.createDataFrame(A.TRANSLATIONS, "concept string, lang string, terms array<string>"), key="k").select("k.job_id", "k.turn", "pos", "expanded"), None)
     one["score_metadata"] = (lambda s, d: parse(s, d).select("page_id", r6(S.metadata_quality(F.col("metadata"), F.size("schema_org"), 5), "score")), f"SELECT page_id, round(1.25::DOUBLE * (og::INT + described::INT + linked_data::INT + pictured::INT), 6) AS score FROM (SELECT page_id, {META_SQL} FROM pages)")

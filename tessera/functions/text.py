@@ -88,5 +88,17 @@ def first_region(query: Column, which: str) -> Column:
     return out
 
 
+def region_rank(query: Column, which: str) -> Column:
+    """Place in the list of the first key that the query holds; null if none. The least of several queries is that of all."""
+    low, out = F.lower(query), F
+    for n, (key, _) in enumerate(K.regions(which)):
+        out = out.when(F.contains(low, F.lit(key)), n)
+    return out
+
+
+def region_at(rank: Column, which: str) -> Column:
+    return F.get(F.array(*[F.lit(region) for _, region in K.regions(which)]), rank)
+
+
 def found_any(low: Column, names: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(low, n))

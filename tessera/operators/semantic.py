@@ -232,8 +232,13 @@ def picked(queries: DataFrame, key: str = "job_id", query: str = "query", pos: s
 
 
 def fallback_seeds(queries: DataFrame, seeds: DataFrame, known: DataFrame, key: str = "job_id", query: str = "query") -> DataFrame:
-    """key, url: seeds (topic, region, url; broadcast, the caller's) whose topic the joined queries hold and whose region is
-    theirs or none, without those known."""
-    all_ = queries.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", query))), lambda s: s[query]), " ").alias("q"))
-    hit = all_.withColumn("region_of", F.coalesce(T.first_region(F.col("q"), "search"), F.lit(""))).join(F.broadcast(seeds), F.contains(F.lower("q"), F.col("topic")) & ((F.col("region") == "") | (F.col("region") == F.col("region_of"))))
-    return hit.select(key, "url").distinct().join(known.select(key, "url"), [key, "url"], "left_anti")
+    """key, url: seeds (topic, region, url; broadcast, the caller's) whose topic one of the queries holds and whose region is
+    that of the queries or none, without those known.
+
+    The region is that of the first key in the list that any of the queries holds. Queries are looked at one by one, so a
+    job may have any number of them.
+    """
+    region = queries.groupBy(key).agg(F.min(T.region_rank(F.col(query), "search")).alias("rank")).select(key, F.coalesce(T.region_at(F.col("rank"), "search"), F.lit("")).alias("region_of"))
+    hit = queries.select(key, F.lower(query).alias("low")).join(F.broadcast(seeds), F.contains(F.col("low"), F.col("topic"))).select(key, "region", "url").distinct()
+    near = hit.join(region, key).filter((F.col("region") == "") | (F.col("region") == F.col("region_of")))
+    return near.select(key, "url").distinct().join(known.select(key, "url"), [key, "url"], "left_anti")

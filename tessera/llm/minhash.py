@@ -133,6 +133,12 @@ def finely_alike(a: str, b: str, hashes: int):
     return 1 - F.aggregate(apart, F.lit(0), lambda s, x: s + x) / F.lit(hashes * 0.75)
 
 
+def deviation(similarity: float, hashes: int) -> float:
+    """Standard deviation of the estimate by two bits of so many minima, at this similarity."""
+    apart = 0.75 * (1 - similarity)
+    return (hashes * apart * (1 - apart)) ** 0.5 / (0.75 * hashes)
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, id_limit: int) -> DataFrame:
     """id and text t of the documents with these ids, once each. ids are broadcast only below a checked count."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -180,7 +186,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, comp) of every node of an edge: the smallest id that can be reached. Alternates large-star and small-star.
 
     Each round is written to the shared folder. Minima are aggregated before they are shuffled and hot nodes are split by
-    AQE's skew join, so a node with any number of edges is no single task's burden.
+    AQE's skew join, so a node with any number of edges is no single task's burden. Rounds grow with the logarithm of the
+    longest chain; should most_rounds not settle it, an error is raised and nothing is returned.
     """
     kind = edges.schema["a"].dataType
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -206,13 +213,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100,
-    per_band: int = 4, slack: float = 0.12, fine_slack: float = 0.047, fine_hashes: int = 2048, block: int = 2000, chunk_chars: int = 2_000_000, id_limit: int = 1_000_000,
+    per_band: int = 4, deviations: float = 5.0, fine_hashes: int = 2048, block: int = 2000, chunk_chars: int = 2_000_000, id_limit: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     A text's set is its distinct shingles of `shingle` words, lower-cased in A-Z; with fewer words the whole sequence is the
-    one shingle. Texts are linked if den * intersection >= num * union of their full sets; slack is how far below that the
-    signatures' estimate may lie before a pair is dropped unverified (4.5 standard deviations), fine_slack the same for the longer signatures (five). Bands have per_band minima
+    one shingle. Texts are linked if den * intersection >= num * union of their full sets. A pair is dropped unverified where
+    the estimate of its signatures lies further below that than `deviations` standard deviations at the threshold, which
+    happens to a pair right at it about once in a million (once for each of the two signatures). Bands have per_band minima
     each: with 4 a pair at 0.8 is missed once in 20 million, with 5 a pair at 0.85 once in two million. component_id is the
     smallest id that links reach, and the document of that id is kept.
 
@@ -222,7 +230,7 @@ def near_dedup(
     """
     spark = docs.sparkSession
     ship(spark)
-    least = num / den - slack
+    least = num / den - deviations * deviation(num / den, HASHES)
     rows = stored(sketched(docs, id_col, text_col, shingle, per_band, chunk_chars), "sketches")
     part = rows.filter("n > 0 AND id IS NOT NULL")
     reps = part.groupBy("f1", "f2").agg(F.min(F.struct("id", "sig", "bands")).alias("r"))
@@ -254,7 +262,7 @@ def near_dedup(
     new = F.lit(True)  # no band before this one brings the two together
     for j in range(BANDED // per_band - 1):
         new = new & ((F.col("band") <= j) | (F.col("ba")[j] != F.col("bb")[j]))
-    pairs = one.join(all_, (one.bucket == all_.bucket) & (one.i == all_.i) & (one.j == all_.j) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (likeness("sa", "sb") >= least) & new & (finely_alike("fa", "fb", fine_hashes) >= num / den - fine_slack))
+    pairs = one.join(all_, (one.bucket == all_.bucket) & (one.i == all_.i) & (one.j == all_.j) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (likeness("sa", "sb") >= least) & new & (finely_alike("fa", "fb", fine_hashes) >= num / den - deviations * deviation(num / den, fine_hashes)))
     second = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "second-pairs")
     more = stored(verified(second, docs, id_col, text_col, shingle, num, den, id_limit), "links")
     if more.limit(1).count():

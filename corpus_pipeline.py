@@ -93,7 +93,7 @@ def tokens(spark, docs, sf_dir):
     """Token ids of every text, with digests of the ids and of the bytes that they decode to."""
     import public_tokenizers
 
-    return byte_bpe.encode_docs(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk_chars=4_000_000)
+    return byte_bpe.encode_docs(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk_chars=2_000_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("minhash_dedup", near), ("decontamination", benchmark), ("byte_bpe", tokens)]
